@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, suffix_dedup
+from tessera.llm import quality, rlz, suffix_dedup
 from tessera.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rlz.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
 #: Every window of 40 words, all but its first occurrence, merged where they overlap or adjoin.
 _REPEATS_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS ws FROM documents),
@@ -36,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _REPEATS_SQL}
+    return {"op2_suffix_dedup": _REPEATS_SQL, "op4_substring_dedup": _REPEATS_SQL}
