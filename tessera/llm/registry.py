@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, rlz, suffix_dedup
+from tessera.llm import quality, rlz, suffix_dedup, templates
 from tessera.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rlz.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
