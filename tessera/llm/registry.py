@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, rlz, suffix_dedup, templates
+from tessera.llm import jaccard, quality, rlz, suffix_dedup, templates
 from tessera.llm.common import table
 
 
@@ -29,6 +29,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+_JACCARD_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM w, unnest(range(0, greatest(len(ws) - 4, 1))) AS t(i) WHERE len(ws) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard FROM pair JOIN size AS x ON doc_a = x.doc_id JOIN size AS y ON doc_b = y.doc_id
+WHERE c / (x.n + y.n - c) >= 0.4
+"""
+
 #: Every window of 40 words, all but its first occurrence, merged where they overlap or adjoin.
 _REPEATS_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS ws FROM documents),
@@ -45,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": _REPEATS_SQL, "op4_substring_dedup": _REPEATS_SQL}
+    return {"op9_ngram_jaccard": _JACCARD_SQL, "op2_suffix_dedup": _REPEATS_SQL, "op4_substring_dedup": _REPEATS_SQL}
