@@ -43,3 +43,17 @@ def row_key() -> Column:
 def identified(docs: DataFrame) -> DataFrame:
     """(_k, _id, text): the row key, doc_id as a long (null: least), the text (null: empty); other columns are left out."""
     return docs.select(row_key().alias("_k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(_row, _k, _id): each whole row beside its key, whatever its columns are called."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("_row"), row_key().alias("_k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as tell it from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

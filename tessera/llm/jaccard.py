@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, identified, row_key, written
+from tessera.llm.common import NULL_ID, identified, keyed, written
 from tessera.llm.text import U64, Words, buffers, combine, grams, slices
 
 N = 5
@@ -301,5 +301,4 @@ def connected(edges: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, keys: int = KEYS) -> DataFrame:
     """One document of each group, its first by (doc_id, row key), columns unchanged; documents in no pair stay."""
     gone = groups(docs, n=n, threshold=threshold, keys=keys).where("_k <> _root_k or _id <> _root_id").select("_k", "_id")
-    keyed = docs.withColumn("_k", row_key()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(gone, ["_k", "_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed(docs).join(gone, ["_k", "_id"], "left_anti").select("_row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID
+from tessera.llm.common import NULL_ID, fresh
 from tessera.llm.text import U64, buffers, combine, mix, ranges, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -281,16 +281,17 @@ def encode(docs: DataFrame, *, model: str = MODEL, alpha: float = ALPHA, seed: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
-            data, offsets = buffers(batch["_text"])
-            seeds = mix(batch["_seed"].to_numpy(zero_copy_only=False).view(np.uint64) + U64(seed) * _BASE)
+            data, offsets = buffers(batch[text])
+            seeds = mix(batch[key].to_numpy(zero_copy_only=False).view(np.uint64) + U64(seed) * _BASE)
             for lo, hi in slices(offsets, CHUNK):
                 ids, at = encode_buffers(v, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], seeds[lo:hi], sample=sample)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 part = batch.slice(lo, hi - lo)
-                lists = pa.compute.if_else(part["_text"].is_valid(), lists, None)
+                lists = pa.compute.if_else(part[text].is_valid(), lists, None)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), lists], [*keep, column])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_seed"))
+    text, key = fresh(docs, "_text"), fresh(docs, "_seed")
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(key))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return given.mapInArrow(run, ", ".join([*fields, f"`{column}` array<int>"]))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, pieces, quality, rlz, suffix_dedup, templates
+from tessera.llm import brown, chat, jaccard, pieces, quality, rlz, suffix_dedup, templates, token_counts, token_files
 from tessera.llm.common import table
 
 
@@ -37,6 +37,39 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts.recount(docs, token_counts.redactions)
+
+
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.perplexities(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write(table(spark, sf_dir, "documents"))[0]
+
+
+def op10_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.format_pairs(chat.pairs(table(spark, sf_dir, "conversations")))
+    shown = {c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("chosen_spans", "rejected_spans")}
+    return out.withColumns(shown)
+
+
+_CHAT_SQL = """
+WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+upto AS (SELECT conv_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY conv_id),
+reply AS (SELECT conv_id, last, text, lead(text) OVER w AS follower, first_value(text) OVER w AS head FROM upto JOIN c USING (conv_id) WHERE turn = last WINDOW w AS (PARTITION BY conv_id // 64 ORDER BY conv_id)),
+pair AS (SELECT conv_id, last, text AS good, coalesce(follower, head) AS bad FROM reply WHERE text <> coalesce(follower, head)),
+prompt AS (SELECT p.conv_id, CAST(count(c.turn) AS INTEGER) AS n, coalesce(string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn), '') AS prompt FROM pair AS p LEFT JOIN c ON p.conv_id = c.conv_id AND c.turn < p.last GROUP BY p.conv_id)
+SELECT conv_id AS pair_id, n AS prompt_turns, prompt,
+  '<|im_start|>assistant' || chr(10) || replace(good, '<|', '< |') || '<|im_end|>' || chr(10) AS chosen,
+  '<|im_start|>assistant' || chr(10) || replace(bad, '<|', '< |') || '<|im_end|>' || chr(10) AS rejected,
+  '22-' || (32 + length(replace(good, '<|', '< |'))) AS chosen_spans,
+  '22-' || (32 + length(replace(bad, '<|', '< |'))) AS rejected_spans
+FROM pair JOIN prompt USING (conv_id)
+"""
+
 _JACCARD_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM w, unnest(range(0, greatest(len(ws) - 4, 1))) AS t(i) WHERE len(ws) > 0),
@@ -62,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_ngram_jaccard": _JACCARD_SQL, "op2_suffix_dedup": _REPEATS_SQL, "op4_substring_dedup": _REPEATS_SQL}
+    return {"op10_chat_pairs": _CHAT_SQL, "op9_ngram_jaccard": _JACCARD_SQL, "op2_suffix_dedup": _REPEATS_SQL, "op4_substring_dedup": _REPEATS_SQL}

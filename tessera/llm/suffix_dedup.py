@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import NULL_ID, row_key
+from tessera.llm.common import NULL_ID, keyed
 from tessera.llm.repeats import Group, repeats
 from tessera.llm.text import NOT_SPACE, U64, Words, grams
 
@@ -140,7 +141,7 @@ def find(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the spans; the white space before a span stays, that behind it goes."""
     for batch in batches:
-        texts, spans = batch["text"].to_pylist(), batch["_spans"].to_pylist()
+        texts, spans = batch["_text"].to_pylist(), batch["_spans"].to_pylist()
         for i, s in enumerate(spans):
             if s:
                 raw = texts[i].encode()
@@ -150,18 +151,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep.append(raw[done : words.start[x["start"]]])
                     done = words.start[x["end"]] if x["end"] < len(words) else len(raw)
                 texts[i] = b"".join([*keep, raw[done:]]).decode()
-        at = batch.schema.get_field_index("text")
-        arrays = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays(arrays, batch.schema.names).select([x for x in batch.schema.names if x not in ("_spans", "_id", "_k")])
+        yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(texts, pa.string())], ["_row", "_text"])
 
 
 def remove(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """docs without their repeated passages; documents of which no word is left go. n_chars, where there is one, is set anew."""
     found = repeats(docs, length, earlier)
-    keyed = docs.withColumn("_k", row_key()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    out = keyed.join(found, ["_k", "_id"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    touched = out.where("_spans is not null").mapInArrow(_cut, fields).where(r"text rlike '\\S'")
-    if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("_spans is null").drop("_spans").unionByName(touched)
+    out = keyed(docs).join(found, ["_k", "_id"], "left").withColumn("_text", F.col("_row.text"))
+    cut = out.where("_spans is not null").select("_row", "_text", "_spans").mapInArrow(_cut, T.StructType([out.schema["_row"], out.schema["_text"]]))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    cells = [(new[c] if c in new else F.col("_row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return out.where("_spans is null").select("_row.*").union(cut.where(r"_text rlike '\\S'").select(*cells))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, identified, row_key
+from tessera.llm.common import NULL_ID, identified, keyed
 from tessera.llm.text import ALNUM, U64, Words, buffers, grams, mix, slices, whole
 
 WINDOW = 10
@@ -192,5 +192,4 @@ def find(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE) -
 def clean(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE) -> DataFrame:
     """The documents that no item contaminates, columns unchanged."""
     bad = matches(docs, benchmark, coverage=coverage).select("_k", "_id").distinct()
-    keyed = docs.withColumn("_k", row_key()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(bad, ["_k", "_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed(docs).join(bad, ["_k", "_id"], "left_anti").select("_row.*")
