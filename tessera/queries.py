@@ -567,7 +567,7 @@ def histogram_estimate(t):
     return stats.cardinality(stats.histogram(t.orders, "o_totalprice", 50000), 120000)
 
 
-@query("SELECT CAST('c_custkey' AS VARCHAR) AS \"column\", count(DISTINCT c_custkey) AS ndv FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name) FROM customer")
+@query("SELECT * FROM (SELECT 'c_custkey' AS \"column\", count(DISTINCT c_custkey) AS ndv FROM customer UNION ALL SELECT 'c_name' AS \"column\", count(DISTINCT c_name) AS ndv FROM customer UNION ALL SELECT 'c_mktsegment' AS \"column\", count(DISTINCT c_mktsegment) AS ndv FROM customer UNION ALL SELECT 'c_nationkey' AS \"column\", count(DISTINCT c_nationkey) AS ndv FROM customer) WHERE ndv > (SELECT count(*) FROM customer) / 10")
 def index_suggestion(t):
     return stats.suggest_indexes(t.customer, ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"])
 
