@@ -19,7 +19,7 @@ from tessera.llm.text import U64, Words, ranges
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker forgets what it has encoded beyond so many distinct pre-tokens.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 _SLOTS = 18
