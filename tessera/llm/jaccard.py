@@ -1,15 +1,23 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Rows of the incidence matrix are documents, columns the distinct N-grams of words. Documents
-with equal N-gram sets are one row. Candidate pairs come from a few columns: each row's KEYS
-least columns in one fixed order (columns common to many rows last, then by hash), as pairs of
-Jaccard similarity J agree on each of the least columns of their union with probability J. A
-candidate pair is compared in the block of its least common key, where the product of the
-block's rows with their transpose, taken over slices of columns, accumulates the exact
-overlaps; pairs below the bound that their sizes imply are discarded.
-
-The candidates are approximate: a pair of similarity J is lost if fewer than SHARED of the
-KEYS columns agree, 0.4 % at J = 0.4 and less above. Overlaps and similarities are exact.
+with equal N-gram sets are one row. Candidate pairs come from a few columns of each row, its keys,
+as pairs of Jaccard similarity J agree on each of the columns of their union that come first by
+hash with probability J. A candidate pair is compared in the block of its least common key, where
+the product of the block's rows with their transpose, taken over slices of columns, accumulates
+the exact overlaps; pairs below the bound that their sizes imply are discarded.
+
+Columns common to many rows are a part of their own, so that a passage that many rows hold makes
+no candidates by itself, and a row's edits don't hide what it shares with many others. If J is the
+threshold t or more, it is so in one of the two parts. Keys are the KEYS first common columns by
+hash, where they are over HOT * t of the row, and the first others. Against a row whose common
+columns are a share s below that, the others are at least (t - s) / (1 - s) similar; the number
+taken of them grows with s accordingly. Rows of up to KEYS / t columns add their whole prefix
+(others first), which finds pairs of short rows exactly.
+
+The candidates are approximate: a pair of similarity J is lost if fewer than SHARED of the keys
+agree, 0.4 % at J = 0.4 and less above, whatever the two share and with however many rows.
+Overlaps and similarities are exact.
 
 Words are the runs between ASCII white space; a text with fewer than N words has one N-gram of
 all its words. Null texts and texts without words are in no pair. Rows equal in doc_id and text
@@ -32,8 +40,10 @@ N = 5
 THRESHOLD = 0.4
 KEYS = 16
 SHARED = 2
-#: Columns that hold at least this share of some thousands of rows come last in the order.
+#: Columns that hold at least this share of some thousands of rows are common.
 COMMON = 0.004
+#: Common columns are keys where their share of a row is over this part of the threshold.
+HOT = 0.75
 CHUNK = 2_000_000
 #: Rows and columns of a dense slice of a block's matrix.
 SLICE_ROWS, SLICE_COLUMNS = 1024, 8192
@@ -92,8 +102,27 @@ def _common(n: int, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _signatures(n: int, keys: int, common: np.ndarray, level: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(_k, _id, _n, _s, _keys): size and hash of each text's set, and its least columns."""
+def row_keys(rank: np.ndarray, keys: int, threshold: float) -> np.ndarray:
+    """The sorted keys of one row's columns: hashes of 58 bits, common columns with a level above them."""
+    rank = np.sort(rank)
+    n = len(rank)
+    cold = int(np.searchsorted(rank, U64(1) << U64(58)))
+    share, most = (n - cold) / n, HOT * threshold
+    few = int(np.ceil(keys * np.log(1 - threshold) / np.log((1 - threshold) / (1 - min(share, most)))))
+    first = min(few, cold)
+    if n <= keys / threshold:
+        first = max(first, min(n, n - int(np.ceil(threshold * n - 1e-9)) + SHARED))
+    out = rank[:first]
+    if share > most:
+        hot = rank[cold:]
+        if len(hot) > keys:
+            hot = hot[np.argpartition(hot & U64((1 << 58) - 1), keys - 1)[:keys]]
+        out = np.unique(np.concatenate([out, hot]))
+    return out
+
+
+def _signatures(n: int, keys: int, threshold: float, common: np.ndarray, level: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(_k, _id, _n, _s, _keys): size and hash of each text's set, and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, g, at in _chunks(batches, n):
@@ -104,7 +133,7 @@ def _signatures(n: int, keys: int, common: np.ndarray, level: np.ndarray) -> Cal
                 rank[hot] |= level[i[hot]] << U64(58)
             size = np.diff(at)
             rows = np.flatnonzero(size)
-            least = [np.sort(np.partition(r, keys - 1)[:keys]) if len(r) > keys else np.sort(r) for r in np.split(rank, at[1:-1]) if len(r)] if len(rank) else []
+            least = [row_keys(r, keys, threshold) for r in np.split(rank, at[1:-1]) if len(r)] if len(rank) else []
             total = np.add.reduceat(combine(g, g >> U64(7)), at[:-1][rows]) if len(rows) else np.zeros(0, np.uint64)
             flat = np.concatenate(least).view(np.int64) if least else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in least])]).astype(np.int32)), pa.array(flat))
@@ -227,14 +256,14 @@ def _forest(x: np.ndarray, y: np.ndarray, both: np.ndarray, n: int) -> tuple[np.
     return x[keep], y[keep], both[keep]
 
 
-def _sets(docs: DataFrame, n: int, keys: int) -> DataFrame:
+def _sets(docs: DataFrame, n: int, keys: int, threshold: float) -> DataFrame:
     """(_k, _id, _n, _s, _keys) of each document with words, once."""
     rows = identified(docs)
     found = rows.mapInArrow(_common(n, COMMON), "_g long, _n long").groupBy("_g").agg(F.sum("_n").alias("_n")).toArrow()  # at most a row's columns / COMMON of them
     g = found["_g"].to_numpy().view(np.uint64)
     order = np.argsort(g)
     level = np.minimum(np.log2(found["_n"].to_numpy() + 1), 62).astype(np.uint64)
-    return rows.mapInArrow(_signatures(n, keys, g[order], level[order]), "_k long, _id long, _n int, _s long, _keys array<long>").dropDuplicates(["_k", "_id"])
+    return rows.mapInArrow(_signatures(n, keys, threshold, g[order], level[order]), "_k long, _id long, _n int, _s long, _keys array<long>").dropDuplicates(["_k", "_id"])
 
 
 def _pairs(docs: DataFrame, sets: DataFrame, n: int, threshold: float, *, forest: bool) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +287,7 @@ def _pairs(docs: DataFrame, sets: DataFrame, n: int, threshold: float, *, forest
 
 def join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, keys: int = KEYS) -> DataFrame:
     """(doc_a, doc_b, jaccard): every pair of documents, doc_a first in order, of the threshold or more."""
-    sets = written(_sets(docs, n, keys), "gram-sets")
+    sets = written(_sets(docs, n, keys, threshold), "gram-sets")
     pairs, members = _pairs(docs, sets, n, threshold, forest=False)
     members = written(members, "gram-members")
     a = members.select(F.col("_fk").alias("_ka"), F.col("_fid").alias("_a"), F.col("_k").alias("_k1"), F.col("_id").alias("_id1"))
@@ -272,7 +301,7 @@ def join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, keys: int
 
 def groups(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, keys: int = KEYS) -> DataFrame:
     """(_k, _id, _root_k, _root_id): the first document of each document's group; groups are connected by pairs."""
-    sets = written(_sets(docs, n, keys), "gram-sets")
+    sets = written(_sets(docs, n, keys, threshold), "gram-sets")
     pairs, members = _pairs(docs, sets, n, threshold, forest=True)
     key = lambda k, i: F.struct(F.col(i).alias("i"), F.col(k).alias("k"))
     edges = pairs.select(key("_ka", "_a").alias("u"), key("_kb", "_b").alias("v"))

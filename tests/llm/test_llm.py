@@ -372,6 +372,24 @@ def test_op9_pairs(spark):
     assert got.items() <= want.items() and len(got) >= 0.98 * len(want)
 
 
+def test_op9_finds_edited_copies_in_large_groups(spark):
+    r, base, texts = random.Random(12), words(300, 1, 5000), []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(r.choice([4, 8, 15])):
+            w[r.randrange(300)] = f"e{r.randrange(10**9)}"
+        texts.append(" ".join(w))
+    passage = words(60, 2, 5000)
+    for i in range(150):  # most alike in nothing but the passage; each two alike in 60 words more
+        texts.append(" ".join(words(60, 10_000 + i // 2, 5000) + passage + words(25, 20_000 + i, 5000)))
+    texts += [" ".join(words(1000, 30_000 + i, 5000)) for i in range(300)]
+    want = near(texts, 0.4)
+    got = {(x.doc_a, x.doc_b): x.jaccard for x in jaccard.join(frame(spark, texts)).collect()}
+    assert got.items() <= want.items()
+    for part in ({p for p in want if p[1] < 300}, {p for p in want if p[0] >= 300}):
+        assert len(part) >= 75 and len(part & set(got)) >= 0.98 * len(part)
+
+
 def components(n, edges):
     root = list(range(n))
     for _ in range(n):
