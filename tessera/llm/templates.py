@@ -10,10 +10,13 @@ else the match is dropped, as the item's parameters then play different parts.
 The documents pass a bitmap of fixed size first, of all the items' windows, so the join sees
 hits only; nothing else of the benchmark is broadcast by us, whatever its size.
 
+Verbatim copies have a second, exact key: windows of the lower-cased words themselves, whatever
+kinds they are of. They add to an alignment what they cover, unless its templates contradict them.
+
 A document is contaminated by an item if consistent windows cover at least COVERAGE of the
-item's words. Items shorter than a window are matched as one window of their full length when
-they have MIN_ITEM words. Windows must hold MIN_LITERAL words that aren't placeholders (all
-words, for shorter items). Null or empty texts and items match nothing; null identifiers are
+item's words. Items shorter than a window are matched as one window of their full length: verbatim
+at any length, as a template when they have MIN_ITEM words. Windows of templates must hold
+MIN_LITERAL words that aren't placeholders (all words, for shorter items). Null or empty texts and items match nothing; null identifiers are
 kept as null; repeated rows of either side count once; other columns are ignored.
 """
 
@@ -45,6 +48,9 @@ UNITS = (
 #: Hashes that stand for the placeholders number, name and unit.
 NUMBER, NAME, UNIT = (U64(x) for x in (0xA1B2C3D4E5F60711, 0xB1B2C3D4E5F60713, 0xC1B2C3D4E5F60717))
 
+#: Tells the hashes of verbatim windows from those of templates.
+EXACT = U64(0xD1B2C3D4E5F60719)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _DIGIT = np.zeros(256, bool)
@@ -95,40 +101,40 @@ class Templates:
         self.symbol[number] = NUMBER
         self.literal = np.concatenate([[0], np.cumsum(~self.slot)])
 
-    def windows(self, length: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the windows that lie in one text and hold enough literal words."""
-        h = grams(self.symbol, length)
+    def windows(self, length: int, literals: int, *, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the windows that lie in one text and hold enough literal words; exact: of the words, not the symbols."""
+        h = grams(self.value if exact else self.symbol, length)
         ok = whole(self.words.doc_words, length)
         if not len(ok):
             return np.zeros(0, np.int64), h[:0]
         ok &= self.literal[length : len(ok) + length] - self.literal[: len(ok)] >= literals
         at = np.flatnonzero(ok)
-        return at, mix(h[at] + U64(length))
+        return at, mix((h[at] ^ EXACT if exact else h[at]) + U64(length))
 
 
 _UNIT_HASHES = _hash(UNITS)
-_HITS = "_w long, _k long, _id long, _at int, _size int, _values binary"
+_HITS = "_w long, _k long, _id long, _at int, _size int, _values binary, _exact boolean"
 
 
-def _emit(t: Templates, at: np.ndarray, h: np.ndarray, length: int, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def _emit(t: Templates, at: np.ndarray, h: np.ndarray, length: int, keys: np.ndarray, ids: np.ndarray, *, exact: bool) -> pa.RecordBatch:
     """One row for each window; _values: the slots' hashes, 0 for literal words."""
     doc = np.searchsorted(t.words.doc_words, at, "right") - 1
     v = np.where(t.slot, t.value, U64(0))
     view = np.lib.stride_tricks.sliding_window_view(v, length)[at] if len(at) else np.zeros((0, length), np.uint64)
     packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * 8 * length).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(view))])
     size = np.diff(t.words.doc_words)[doc].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[doc]), pa.array(ids[doc]), pa.array((at - t.words.doc_words[doc]).astype(np.int32)), pa.array(size), packed], ["_w", "_k", "_id", "_at", "_size", "_values"])
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[doc]), pa.array(ids[doc]), pa.array((at - t.words.doc_words[doc]).astype(np.int32)), pa.array(size), packed, pa.array(np.full(len(at), exact))], ["_w", "_k", "_id", "_at", "_size", "_values", "_exact"])
 
 
-def _scan(lengths: list[int], bitmap: np.ndarray | None, *, items: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(lengths: list[tuple[int, bool]], bitmap: np.ndarray | None, *, items: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch["text"])
             keys, ids = batch["_k"].to_numpy(zero_copy_only=False), batch["_id"].to_numpy(zero_copy_only=False)
             for lo, hi in slices(offsets, CHUNK):
                 t = Templates(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for n in lengths:
-                    at, h = t.windows(n, MIN_LITERAL if n >= WINDOW else n)
+                for n, exact in lengths:
+                    at, h = t.windows(n, 0 if exact else MIN_LITERAL if n >= WINDOW else n, exact=exact)
                     if items and len(at):  # a shorter window only where it is the whole item
                         size = np.diff(t.words.doc_words)
                         doc = np.searchsorted(t.words.doc_words, at, "right") - 1
@@ -138,8 +144,14 @@ def _scan(lengths: list[int], bitmap: np.ndarray | None, *, items: bool) -> Call
                         b = (h >> U64(64 - BITMAP_BITS)).astype(np.int64)
                         mine = (bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0
                         at, h = at[mine], h[mine]
+                    if exact and not items and n < WINDOW and len(at):  # the whole item: one place of a document is enough
+                        doc = np.searchsorted(t.words.doc_words, at, "right") - 1
+                        order = np.lexsort((at, h, doc))
+                        first = np.concatenate([[True], (np.diff(doc[order]) != 0) | (h[order][1:] != h[order][:-1])])
+                        mine = np.sort(order[first])
+                        at, h = at[mine], h[mine]
                     if len(at):
-                        yield _emit(t, at, h, n, keys[lo:hi], ids[lo:hi])
+                        yield _emit(t, at, h, n, keys[lo:hi], ids[lo:hi], exact=exact)
 
     return run
 
@@ -150,35 +162,37 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     covered = np.zeros(size, bool)
     for _, rows in pdf.groupby(pdf["_at"] - pdf["_item_at"]):
         there, back, good = {}, {}, True
-        on = np.zeros(size, bool)
-        for at, ours, theirs in zip(rows["_item_at"], rows["_values"], rows["_item_values"], strict=True):
-            x, y = np.frombuffer(theirs, np.uint64), np.frombuffer(ours, np.uint64)
-            on[at : at + len(x)] = True
-            slots = x != 0
-            for v, w in zip(x[slots].tolist(), y[slots].tolist(), strict=True):
-                good &= there.setdefault(v, w) == w and back.setdefault(w, v) == v
-        if good:
-            covered |= on
+        for exact, part in rows.groupby("_exact"):  # templates first
+            on = np.zeros(size, bool)
+            for at, ours, theirs in zip(part["_item_at"], part["_values"], part["_item_values"], strict=True):
+                x = np.frombuffer(theirs, np.uint64)
+                y = x if exact else np.frombuffer(ours, np.uint64)
+                on[at : at + len(x)] = True
+                slots = x != 0
+                for v, w in zip(x[slots].tolist(), y[slots].tolist(), strict=True):
+                    good &= there.setdefault(v, w) == w and back.setdefault(w, v) == v
+            if good:
+                covered |= on
     return pd.DataFrame({"_k": pdf["_k"].iloc[:1], "_id": pdf["_id"].iloc[:1], "_item": pdf["_item"].iloc[:1], "covered": [float(covered.mean())]})
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE) -> DataFrame:
     """(_k, _id, _item, covered): pairs of document and item, and the share of the item's words in consistent windows."""
     items = identified(benchmark.select(F.col("item_id").alias("doc_id"), "text")).dropDuplicates(["_k", "_id"])
-    theirs = items.mapInArrow(_scan(list(range(MIN_ITEM, WINDOW + 1)), None, items=True), _HITS)
+    theirs = items.mapInArrow(_scan([(n, False) for n in range(MIN_ITEM, WINDOW + 1)] + [(n, True) for n in range(1, WINDOW + 1)], None, items=True), _HITS)
     bucket = F.shiftrightunsigned("_w", 64 - BITMAP_BITS).cast("int")
-    known = theirs.select(bucket.alias("b"), (F.octet_length("_values") / 8).cast("int").alias("n")).distinct().toArrow()  # at most 2 ** BITMAP_BITS for each length
+    known = theirs.select(bucket.alias("b"), (F.octet_length("_values") / 8).cast("int").alias("n"), "_exact").distinct().toArrow()  # at most 2 ** BITMAP_BITS for each length and kind
     bits = np.zeros(1 << BITMAP_BITS, np.uint8)
     bits[known["b"].to_numpy()] = 1
     shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    lengths = sorted(set(known["n"].to_pylist()))
+    lengths = sorted(set(zip(known["n"].to_pylist(), known["_exact"].to_pylist(), strict=True)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scan(lengths, shipped.value, items=False)(batches)
 
     ours = identified(docs).mapInArrow(scan, _HITS).drop("_size")
-    theirs = theirs.select("_w", F.col("_k").alias("_item_key"), F.col("_id").alias("_item"), F.col("_at").alias("_item_at"), F.col("_size").alias("_item_size"), F.col("_values").alias("_item_values"))
-    pairs = ours.join(theirs, "_w").where(F.octet_length("_values") == F.octet_length("_item_values")).drop("_w")
+    theirs = theirs.select("_w", F.col("_k").alias("_item_key"), F.col("_id").alias("_item"), F.col("_at").alias("_item_at"), F.col("_size").alias("_item_size"), F.col("_values").alias("_item_values"), F.col("_exact").alias("_item_exact"))
+    pairs = ours.join(theirs, "_w").where(F.octet_length("_values") == F.octet_length("_item_values")).where("_exact = _item_exact").drop("_w", "_item_exact")
     out = pairs.groupBy("_k", "_id", "_item", "_item_key").applyInPandas(_judge, "_k long, _id long, _item long, covered double")
     return out.where(F.col("covered") >= coverage)
 

@@ -183,6 +183,16 @@ def test_op3_catches_new_parameters_and_checks_slots(spark):
     assert sorted((r.doc_id for r in templates.clean(docs, bench).collect())) == [0, 3, 4]
 
 
+def test_op3_finds_verbatim_items_of_any_kind(spark):
+    items = ["What is the capital of France?", "Add 12 and 30", "12 + 7 - 3 * 5 + 11 - 2 + 9 - 4 + 8 * 6 + 1 - 10", "Did Anna Boris Carla Dora Emil Frida Georg Hanna or Ivan win?", "Was Anna in Rome?", "Name 5 units: mm, cm, m, km and mi, or ft"]
+    filler = " ".join(words(50, 9))
+    docs = frame(spark, [*(f"{filler} {x} {filler} {x.upper()}" for x in items), filler])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in templates.find(docs, bench).collect()}
+    assert got == {(i, i): 1.0 for i in range(len(items))}
+    assert [r.doc_id for r in templates.clean(docs, bench).collect()] == [len(items)]
+
+
 def test_op3_query_finds_all_verbatim_items(spark):
     sf = SF.replace("0.001", "0.01")
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
