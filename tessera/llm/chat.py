@@ -16,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-#: Neighbouring conversations within so many identifiers lend each other replies.
+#: Neighbouring conversations lend each other replies within so many, by rank of identifier.
 BLOCK = 64
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -29,17 +31,43 @@ def conversations(turns: DataFrame) -> DataFrame:
     return ordered.select("conv_id", F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def ranks(turns: DataFrame) -> tuple[DataFrame, int]:
+    """((conv_id, _rank, _nth): each conversation's place in order of conv_id, null last, and that among the conversations with replies, null for the others; how many have replies)."""
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = turns.groupBy("conv_id").agg(F.max(F.coalesce(F.col("role") == "assistant", F.lit(False)).cast("long")).alias("_has"))
+    # written, as the bounds of a range partition may differ when it is computed again
+    ids = written(ids.repartitionByRange(parts, F.col("conv_id").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "conversation-ranks")
+    sizes = sorted(ids.groupBy("_part").agg(F.count("*"), F.sum("_has")).collect())  # a row for each partition
+    before, n, m = [], 0, 0
+    for part, rows, replies in sizes:
+        before.append((part, n, m))
+        n, m = n + rows, m + replies
+    starts = F.broadcast(turns.sparkSession.createDataFrame(before, "_part int, _n long, _m long"))
+    w = Window.partitionBy("_part").orderBy(F.col("conv_id").asc_nulls_last())
+    ids = ids.withColumn("_row", F.row_number().over(w)).withColumn("_replies", F.sum("_has").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ids = ids.join(starts, "_part").select("conv_id", (F.col("_n") + F.col("_row") - 1).alias("_rank"), F.when(F.col("_has") == 1, F.col("_m") + F.col("_replies") - 1).alias("_nth"))
+    return ids, m
+
+
 def pairs(turns: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(pair_id, chosen, rejected): a conversation up to its last reply, and the same with the last reply of the next conversation of its block.
 
-    The next after the last of a block is its first; one without a reply, and one alone in its
-    block, gives no pair.
+    Blocks are of so many conversations in order of conv_id, however far apart the identifiers are.
+    The next after the last of a block is its first; one alone in its block takes the next reply
+    of all, after the last the first. One without a reply, and a single one with a reply, gives no pair.
     """
     rows = conversations(turns).withColumn("_last", F.expr("size(turns) - array_position(reverse(transform(turns, t -> t.role = 'assistant')), true) + 1")).where("_last <= size(turns)")
     rows = rows.select("conv_id", F.slice("turns", 1, F.col("_last").cast("int")).alias("chosen"))
     rows = rows.withColumn("_reply", F.element_at("chosen", -1)["text"])
-    w = Window.partitionBy(F.floor(F.col("conv_id") / block)).orderBy("conv_id")
+    order, count = ranks(turns)
+    rows = rows.join(order.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    w = Window.partitionBy(F.floor(F.col("_rank") / block)).orderBy("_rank")
     rows = rows.withColumn("_other", F.coalesce(F.lead("_reply").over(w), F.first("_reply").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    blocks = order.where("_nth is not null").groupBy(F.floor(F.col("_rank") / block)).agg(F.count("*").alias("_size"), F.min("_nth").alias("_of"))
+    alone = blocks.where("_size = 1").select("_of", ((F.col("_of") + 1) % max(count, 1)).alias("_nth"))
+    if count > 1 and not alone.isEmpty():
+        lent = rows.select("_nth", F.col("_reply").alias("_lent")).join(alone, "_nth").select(F.col("_of").alias("_nth"), "_lent")
+        rows = rows.join(lent, "_nth", "left").withColumn("_other", F.coalesce("_lent", "_other"))
     swapped = F.concat(F.slice("chosen", 1, F.size("chosen") - 1), F.array(F.struct(F.lit("assistant").alias("role"), F.col("_other").alias("text"))))
     return rows.select(F.col("conv_id").alias("pair_id"), "chosen", swapped.alias("rejected"))
 

@@ -436,6 +436,25 @@ def test_op10(spark):
     assert got[None].chosen == "<|im_start|>user\n<|im_end|>\n" and got[None].chosen_spans == []
 
 
+@pytest.mark.parametrize("ids", [[64 * i for i in range(70)], [i * 10**12 - 5 for i in range(65)], [*range(65)], [3, None], [None, *range(64)]])
+def test_op10_pairs_conversations_however_far_apart(spark, ids):
+    rows = [(i, t, r, f"{r} {i}") for i in ids for t, r in enumerate(["user", "assistant", "user"])]
+    got = {r.pair_id: r for r in chat.pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert set(got) == set(ids)
+    order = sorted(ids, key=lambda i: (i is None, i))
+    for n, i in enumerate(order):
+        block = order[n // 64 * 64 : n // 64 * 64 + 64]
+        other = block[(n % 64 + 1) % len(block)] if len(block) > 1 else order[(n + 1) % len(order)]
+        assert [t.text for t in got[i].chosen] == [f"user {i}", f"assistant {i}"]
+        assert [t.text for t in got[i].rejected] == [f"user {i}", f"assistant {other}"]
+
+
+def test_op10_lends_replies_past_conversations_without(spark):
+    rows = [(i, 0, "assistant" if i % 100 == 0 else "user", f"t{i}") for i in range(500)]
+    got = {r.pair_id: r.rejected[-1].text for r in chat.pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == {0: "t100", 100: "t200", 200: "t300", 300: "t400", 400: "t0"}
+
+
 def test_pipeline_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
