@@ -34,7 +34,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +71,15 @@ FROM pair JOIN prompt USING (conv_id)
 """
 
 _JACCARD_SQL = """
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS g FROM w, unnest(range(0, greatest(len(ws) - 4, 1))) AS t(i) WHERE len(ws) > 0),
 size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-pair AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard FROM pair JOIN size AS x ON doc_a = x.doc_id JOIN size AS y ON doc_b = y.doc_id
-WHERE c / (x.n + y.n - c) >= 0.4
+meets AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM meets JOIN size AS x ON a = x.doc_id JOIN size AS y ON b = y.doc_id WHERE c / (x.n + y.n - c) >= 0.4),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, b FROM reached JOIN link ON other = a),
+class AS (SELECT doc_id, min(other) AS class_id FROM reached GROUP BY doc_id),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM class LEFT JOIN degree ON doc_id = a
 """
 
 #: Every window of 40 words, all but its first occurrence, merged where they overlap or adjoin.
