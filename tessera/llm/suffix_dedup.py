@@ -7,8 +7,10 @@ array then show which windows of words are equal; all but the first occurrence r
 A window repeats if the same words, in the same order, stand earlier in the corpus: in a
 document with a smaller doc_id (null first), or earlier in the same document. Words are the
 runs between ASCII white space, so line breaks and spacing don't matter. Null and empty texts
-and texts shorter than a window have no repeats. Rows equal in doc_id and text count as one
-document. Other columns are ignored (find) or kept (remove).
+and texts shorter than a window have no repeats; very long texts are taken whole. Rows equal in
+doc_id and text count as one document; of texts tied at one doc_id the one with the lesser row
+key comes first. doc_id must be an integer (else TypeError). Other columns, clashing names
+included, are ignored (find) or kept (remove). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import NULL_ID, keyed
-from tessera.llm.repeats import Group, repeats
+from tessera.llm.repeats import Group, repeats, runs
 from tessera.llm.text import NOT_SPACE, U64, Words, grams
 
 #: Words of the shortest passage that counts as repeated.
@@ -118,22 +120,26 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     return out
 
 
-def earlier(group: Group, length: int) -> np.ndarray:
-    """Of the group's windows, those whose words stand earlier."""
+def earlier(group: Group, length: int) -> tuple[np.ndarray, np.ndarray, None, np.ndarray]:
+    """Runs of the group's windows whose words stand earlier, and their mask."""
     out = np.zeros(len(group.windows), bool)
-    if len(group.windows) < 2:
-        return out
-    order = suffix_array(group.text, group.windows, length)
-    new = common_prefixes(group.text, order, length) < length
-    first = np.minimum.reduceat(order, np.flatnonzero(new))
-    again = order != np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(order))))
-    out[np.searchsorted(group.windows, order[again])] = True
-    return out
-
-
-def find(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+    if len(group.windows) > 1:
+        order = suffix_array(group.text, group.windows, length)
+        group_of = np.cumsum(common_prefixes(group.text, order, length) < length)
+        h = grams(group.full(), length)[order]  # neighbours alike in 32 bits of every word must be so in 48
+        order = order[np.lexsort((order, h, group_of))]
+        h = grams(group.full(), length)[order]
+        new = np.append(True, (np.diff(group_of) != 0) | (h[1:] != h[:-1]))
+        first = np.minimum.reduceat(order, np.flatnonzero(new))
+        again = order != np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(order))))
+        out[np.searchsorted(group.windows, order[again])] = True
+    first, last = runs(group, out)
+    return first, last, None, out
+
+
+def find(docs: DataFrame, *, length: int = LENGTH, **limits: int) -> DataFrame:
     """(doc_id, spans, n_words): each document with repeats, the spans of words [start, end) and their total."""
-    found = repeats(docs, length, earlier)
+    found = repeats(docs, length, earlier, **limits)
     total = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id"), F.col("_spans").alias("spans"), total.alias("n_words"))
 

@@ -139,13 +139,61 @@ def repeated(docs, length):
 
 
 @pytest.mark.parametrize("find", [suffix_dedup.find, rlz.find])
-def test_repeats(spark, find):
+@pytest.mark.parametrize("limits", [{}, {"hot": 3, "group_words": 300}])
+def test_repeats(spark, find, limits):
     r = random.Random(7)
     parts = [words(r.randrange(20, 90), 100 + i, 12) for i in range(12)]
     texts = [" \n".join(itertools.chain(*r.choices(parts, k=r.randrange(1, 6)))) for _ in range(60)] + [" ".join(["ab"] * 300), " ".join(["ab", "cd"] * 150)]
-    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in find(frame(spark, texts)).collect()}
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in find(frame(spark, texts), **limits).collect()}
     assert got == repeated(list(enumerate(texts)), 40)
-    assert {x.doc_id: [(s.start, s.end) for s in x.spans] for x in find(frame(spark, texts), length=20).collect()} == repeated(list(enumerate(texts)), 20)
+    assert {x.doc_id: [(s.start, s.end) for s in x.spans] for x in find(frame(spark, texts), length=20, **limits).collect()} == repeated(list(enumerate(texts)), 20)
+
+
+@pytest.mark.parametrize("find", [suffix_dedup.find, rlz.find])
+def test_repeats_with_one_minimizer_in_most_rows(spark, find):
+    line, r = words(45, 1), random.Random(3)
+    texts = [" ".join(words(r.randrange(30), i) + line + words(r.randrange(30), 900 + i)) for i in range(200)]
+    texts += [" ".join(words(20, 5000 + i) + line[:36] + words(20, 7000 + i)) for i in range(100)] + ["", None, "x"]
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in find(frame(spark, texts), hot=10).collect()}
+    assert got == repeated([(i, t or "") for i, t in enumerate(texts)], 40) and len(got) == 199
+
+
+@pytest.mark.parametrize("find", [suffix_dedup.find, rlz.find])
+def test_repeats_odd_rows(spark, find):
+    long = " ".join(words(20_000, 8, 10**6))
+    docs = frame(spark, [None, "", long, long, f"x {long}", " ".join(words(39, 1)), " ".join(words(39, 1))], [1, 2, 5, 5, None, 7, 8])
+    assert [(r.doc_id, [(s.start, s.end) for s in r.spans], r.n_words) for r in find(docs).collect()] == [(5, [(0, 20_000)], 20_000)]
+    with pytest.raises(TypeError, match="integer"):
+        find(docs.selectExpr("'x' as doc_id", "text"))
+
+
+def test_rlz_longest_matches_are_the_longest():
+    r = np.random.default_rng(0)
+    for _ in range(60):
+        blocks = [r.integers(1, 4, r.integers(1, 30)).astype(np.uint64) for _ in range(r.integers(1, 6))]
+        n = len(blocks)
+        g = type("Group", (), {})()
+        g.size = np.array([len(b) for b in blocks])
+        g.start = np.concatenate([[0], np.cumsum(g.size + 1)])[:-1]
+        text = np.concatenate([*(np.append(b, 0) for b in blocks), np.zeros(5)]).astype(np.uint64)
+        g.full, g.k, g.id, g.at = lambda text=text: text, np.arange(n), r.integers(0, 3, n), np.zeros(n, int)
+        best, source = rlz.longest(g)
+        for b, o in [(b, o) for b in range(n) for o in range(g.size[b])]:
+            want = 0
+            for c, q in [(c, q) for c in range(n) for q in range(g.size[c]) if (g.id[c], c, q) < (g.id[b], b, o)]:
+                m = 0
+                while o + m < g.size[b] and q + m < g.size[c] and blocks[b][o + m] == blocks[c][q + m]:
+                    m += 1
+                want = max(want, m)
+            i = g.start[b] + o
+            assert best[i] == want and (text[i : i + want] == text[source[i] : source[i] + want]).all()
+
+
+def test_rlz_factors_copy_what_they_say(spark):
+    a, b = words(100, 1), words(80, 2)
+    texts = [" ".join(a), " ".join(b), " ".join(["x"] + a[5:95] + ["y"] + b)]
+    got = rlz.find(frame(spark, texts)).collect()
+    assert [(r.doc_id, [tuple(f) for f in r.factors]) for r in got] == [(2, [(1, 91, 0, 5), (92, 172, 1, 0)])]
 
 
 def test_two_stage_sort_is_a_suffix_sort():
