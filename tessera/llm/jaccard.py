@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NULL_ID, identified, without, written
-from tessera.llm.text import U64, Words, buffers, combine, grams, mix, ranges, slices
+from tessera.llm.text import U64, Words, buffers, by_run, combine, grams, mix, ranges, slices, starts
 
 N = 5
 THRESHOLD = 0.4
@@ -95,17 +95,6 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def _starts(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(keys[0]), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
 class _Held:
     """The distinct rows of some chunks, gathered up to HELD columns."""
 
@@ -136,7 +125,7 @@ def _sets(n: int, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             return
         s = np.repeat(row, size)
         order = np.argsort(g, kind="stable")
-        at = _starts(g[order])
+        at = starts(g[order])
         count = np.diff(np.append(at, len(g)))
         on = count >= max(8, share * len(row))
         least = np.minimum.reduceat(s[order], at)[on]
@@ -165,8 +154,8 @@ def _postings(n: int, parts: int, frequent: np.ndarray) -> Callable[[Iterator[pa
 
     def cells(to: np.ndarray, who: np.ndarray, row: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, flag: bool) -> pa.RecordBatch:
         """Of columns sorted by partition (to) and row (who)."""
-        each = _starts(to, who)
-        first = _starts(to[each])
+        each = starts(to, who)
+        first = starts(to[each])
         ends = np.append(first[1:], len(each))
         columns = np.append(each, len(to))[ends]
         made = [_binary(row[who[each]], ends), _binary(size[who[each]].astype(np.int32), ends), _binary(np.diff(np.append(each, len(to))).astype(np.int32), ends), _binary(lo, columns), _binary(hi, columns)]
@@ -211,7 +200,7 @@ def _shared(columns: np.ndarray, counts: np.ndarray, leaders: np.ndarray) -> Cal
 
     def emit(s: np.ndarray, size: np.ndarray, g: np.ndarray, d: np.ndarray, leader: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of columns sorted by row."""
-        at = np.append(_starts(s), len(s))
+        at = np.append(starts(s), len(s))
         for lo in range(0, len(at) - 1, 20_000):
             e = at[lo : lo + 20_001]
             a, b, k = int(e[0]), int(e[-1]), len(e) - 1
@@ -238,7 +227,7 @@ def _shared(columns: np.ndarray, counts: np.ndarray, leaders: np.ndarray) -> Cal
             del lo, hi
             order = np.argsort(g, kind="stable")
             g, who = g[order], who[order]
-            at = _starts(g)
+            at = starts(g)
             per = np.diff(np.append(at, len(g)))
             own = s[who]
             least, most = np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
@@ -247,9 +236,9 @@ def _shared(columns: np.ndarray, counts: np.ndarray, leaders: np.ndarray) -> Cal
             if not len(g):
                 continue
             order = np.lexsort((own, g))
-            once = order[_starts(own[order], g[order])]
+            once = order[starts(own[order], g[order])]
             g, who, own = g[once], who[once], own[once]
-            at = _starts(g)
+            at = starts(g)
             per = np.diff(np.append(at, len(g)))
             d, leader = np.repeat(per, per), np.repeat(own[at], per)
             order = np.argsort(own, kind="stable")
@@ -268,7 +257,7 @@ def _blocks(threshold: float, cut_at: int = SLICE) -> Callable[[Iterator[pa.Reco
 
     def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
         s, n = t["_s"].to_numpy().view(np.uint64), t["_n"].to_numpy()
-        at = _starts(s)
+        at = starts(s)
         row = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(s))))
         weight = np.maximum.reduceat(t["_w"].fill_null(0).to_numpy(), at)
         s, n = s[at], np.maximum.reduceat(n, at).astype(np.int64)
@@ -287,7 +276,7 @@ def _blocks(threshold: float, cut_at: int = SLICE) -> Callable[[Iterator[pa.Reco
         level = np.maximum(np.log2(d[on]).astype(np.int64), base)
         key, who = combine(leader[on], level.astype(np.uint64)), row[on]
         order = np.lexsort((key, who))
-        once = order[_starts(who[order], key[order])]
+        once = order[starts(who[order], key[order])]
         key, who, level = key[once], who[once], level[once]
         per = np.bincount(who, minlength=len(s))
         keys = _binary(key, np.cumsum(per))
@@ -307,28 +296,7 @@ def _blocks(threshold: float, cut_at: int = SLICE) -> Callable[[Iterator[pa.Reco
             made = [block[lo : lo + 2000].view(np.int64), key[c].view(np.int64), cut, s[w].view(np.int64), n[w].astype(np.int32), weight[w]]
             yield pa.RecordBatch.from_arrays([*map(pa.array, made), sets.take(take), keys.take(take)], ["_b", "_key", "_cut", "_s", "_n", "_w", "_g", "_keys"])
 
-    return lambda batches: _by_run(batches, "_s", flush)
-
-
-def _by_run(batches: Iterator[pa.RecordBatch], name: str, flush: Callable[[pa.Table], Iterator[pa.RecordBatch]], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """flush, of some megabytes of rows sorted by a column at a time, no value in two of them."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size > most:
-            t = pa.Table.from_batches(held).combine_chunks()
-            v = t[name].to_numpy()
-            cut = int(np.searchsorted(v, v[-1]))
-            if cut:
-                yield from flush(t.slice(0, cut))
-                held = t.slice(cut).combine_chunks().to_batches()
-            size = sum(b.nbytes for b in held) if cut else 0
-    if held:
-        yield from flush(pa.Table.from_batches(held).combine_chunks())
+    return lambda batches: by_run(batches, "_s", flush)
 
 
 def similar(g: np.ndarray, at: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +308,7 @@ def similar(g: np.ndarray, at: np.ndarray, n: np.ndarray, threshold: float) -> t
     row = np.repeat(np.arange(m), np.diff(at))
     order = np.argsort(g, kind="stable")
     x = g[order]
-    new = _starts(x)
+    new = starts(x)
     count = np.diff(np.append(new, len(x)))
     keep = np.repeat(count > 1, count)  # the others add nothing
     column = np.repeat(np.cumsum(count > 1) - 1, count)[keep]
@@ -373,7 +341,7 @@ def _linked(keys: np.ndarray, at: np.ndarray, key: int, m: int) -> np.ndarray |
     row, k = row[less], keys[less]
     order = np.argsort(k, kind="stable")
     row, k = row[order], k[order]
-    new = _starts(k)
+    new = starts(k)
     count = np.diff(np.append(new, len(k)))
     if not (count > 1).any():
         return None
@@ -424,7 +392,7 @@ def _products(threshold: float, *, pairs: bool) -> Callable[[Iterator[pa.RecordB
         s, key = t["_s"].to_numpy(), key.view(np.uint64)
         (g, at), (keys, kat) = buffers(t["_g"]), buffers(t["_keys"])
         g, at, keys, kat = g.view(np.uint64), at // 8, keys.view(np.uint64), kat // 8
-        bounds = np.append(_starts(b), len(b))
+        bounds = np.append(starts(b), len(b))
         found = []
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if hi - lo > 1 and (x := block(s[lo:hi], n[lo:hi].astype(np.int64), w[lo:hi], cut[lo:hi], g[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], keys[kat[lo] : kat[hi]], kat[lo : hi + 1] - kat[lo], key[lo])) is not None:
@@ -434,7 +402,7 @@ def _products(threshold: float, *, pairs: bool) -> Callable[[Iterator[pa.RecordB
             names = ["_s", "_t", "_o", "_n", "_m"] if pairs else ["_s", "_root", "_c"]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32) if c in ("_o", "_n", "_m") else x) for c, x in zip(names, columns, strict=True)], names)
 
-    return lambda batches: _by_run(batches, "_b", flush)
+    return lambda batches: by_run(batches, "_b", flush)
 
 
 def _matrix(docs: DataFrame, n: int, threshold: float, *, pairs: bool, share: float = FREQUENT, cut_at: int = SLICE) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,3 +155,35 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[0] = s[0]
     out[at] = s[1:] - s[:-1] - n[:-1] + 1
     return np.cumsum(out)
+
+
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def by_run(batches: Iterator[pa.RecordBatch], name: str, flush: Callable[[pa.Table], Iterator[pa.RecordBatch]], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """flush, of some megabytes of rows sorted by a column at a time, no value in two of them."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size > most:
+            t = pa.Table.from_batches(held).combine_chunks()
+            v = t[name].to_numpy()
+            cut = int(np.searchsorted(v, v[-1]))
+            if cut:
+                yield from flush(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held) if cut else 0
+    if held:
+        yield from flush(pa.Table.from_batches(held).combine_chunks())
