@@ -3,13 +3,15 @@
 Every task streams its documents' tokens into one file of the shared folder; a partition's base
 is the sum of the tokens in the partitions before it, and a document's offset is base plus its
 place in its partition. Offsets lie in a second file for each partition (little-endian, one more
-than documents), so that both can be memory-mapped. A file's name is its attempt's own, and only
-files that the committed rows name are listed in index.json; the others are deleted, so that
-lost or repeated attempts leave nothing behind.
-
-Null texts count as empty: no tokens, an offset all the same. Null identifiers, repeated rows
-and ties are rows like any other, in the order in which they were read; other columns are
-ignored. An empty table gives an index without files.
+than documents), so that both can be memory-mapped. A file's name is its call's and its attempt's
+own, and only files that the committed rows name are listed in index.json; of the call's own files
+the others are deleted, so that lost or repeated attempts leave nothing behind. The folder must
+not hold anything before (else FileExistsError), and no file of another is ever touched.
+
+Null texts count as empty: no tokens, an offset all the same. Very long texts are encoded whole.
+Null identifiers, repeated rows and ties are rows like any other, in the order in which they were
+read; doc_id may be of any type. Other columns, clashing names (part, start, n_tokens) included,
+are ignored. An empty table gives an index without files.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCABULARY, encoder
+from tessera.llm.bpe import VOCABULARY, opened, ship
 from tessera.llm.common import shared_dir, written
 from tessera.llm.text import buffers, slices
 
@@ -41,10 +43,13 @@ def write(docs: DataFrame, folder: str | None = None, *, vocabulary: str = VOCAB
     folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     to, path = _open(folder)
     to.create_dir(path, recursive=True)
+    if to.get_file_info(fs.FileSelector(path)):
+        raise FileExistsError(f"{folder} holds files already")
+    call, shipped = uuid.uuid4().hex, ship(docs.sparkSession, vocabulary)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        name, out, at, row = f"tokens-{part:06d}-{uuid.uuid4().hex}.bin", None, 0, 0
+        enc, part = opened(shipped), TaskContext.get().partitionId()
+        name, out, at, row = f"tokens-{call}-{part:06d}-{uuid.uuid4().hex}.bin", None, 0, 0
         try:
             for batch in batches:
                 data, offsets = buffers(batch["text"])
@@ -86,7 +91,7 @@ def write(docs: DataFrame, folder: str | None = None, *, vocabulary: str = VOCAB
                 if p[lo] != part:
                     yield from close()
                     part = int(p[lo])
-                    name = f"offsets-{part:06d}-{uuid.uuid4().hex}.u64"
+                    name = f"offsets-{call}-{part:06d}-{uuid.uuid4().hex}.u64"
                     out = out_fs.open_output_stream(f"{out_path}/{name}")
                 out.write(start[lo:hi].astype("<u8").tobytes())
                 end = int(start[hi - 1] + n[hi - 1])
@@ -96,9 +101,9 @@ def write(docs: DataFrame, folder: str | None = None, *, vocabulary: str = VOCAB
     listed = sorted((r.asDict() for r in bases.join(written(shards, "token-offsets"), "part").collect()), key=lambda r: r["part"])
     keep = {r[k] for r in listed for k in ("file", "offsets")}
     with to.open_output_stream(f"{path}/index.json") as f:
-        f.write(json.dumps({"dtype": np.dtype(encoder(vocabulary).dtype).name, "parts": listed}).encode())
+        f.write(json.dumps({"dtype": np.dtype(opened(shipped).dtype).name, "parts": listed}).encode())
     for info in to.get_file_info(fs.FileSelector(path)):
-        if info.type == fs.FileType.File and info.base_name not in keep | {"index.json"}:
+        if call in info.base_name and info.base_name not in keep:
             to.delete_file(info.path)
     return placed.select("doc_id", "part", "start", "n_tokens"), folder
 
