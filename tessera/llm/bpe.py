@@ -9,10 +9,13 @@ Tokens never cross pre-tokens, so this gives what encoding the whole text gives.
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 from tessera.llm.text import U64, Words, ranges
 
@@ -78,11 +81,10 @@ class Leaves(Words):
 class Encoder:
     """Token identifiers of texts; remembers the pre-tokens it has met."""
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.uint16 if max(ranks.values()) < 1 << 16 else np.uint32
         self._forget()
@@ -147,5 +149,25 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
-    """The worker's own encoder."""
-    return Encoder(vocabulary)
+    """An encoder by the vocabulary file, which this machine must hold."""
+    with open(vocabulary, "rb") as f:
+        return Encoder(f.read())
+
+
+_OPENED: dict[str, Encoder] = {}
+
+
+def ship(spark: SparkSession, vocabulary: str = VOCABULARY) -> Broadcast:
+    """The vocabulary file (a megabyte or two), read by the driver alone, for opened()."""
+    with open(vocabulary, "rb") as f:
+        raw = f.read()
+    return spark.sparkContext.broadcast((hashlib.sha256(raw).hexdigest(), raw))
+
+
+def opened(shipped: Broadcast) -> Encoder:
+    """The worker's own encoder by a shipped vocabulary."""
+    name, raw = shipped.value
+    if name not in _OPENED:
+        _OPENED.clear()
+        _OPENED[name] = Encoder(raw)
+    return _OPENED[name]

@@ -39,7 +39,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_counts.trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return token_counts.recount(docs, token_counts.redactions)
+    return token_counts.recount(docs, token_counts.redactions, keep_trees=False)
 
 
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

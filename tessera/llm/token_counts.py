@@ -1,16 +1,19 @@
 """Edit-aware token counts: pre-token segment trees, re-encoded only where edits touch them.
 
-trees() keeps, for every document, the widths (in characters) and token counts of its
-pre-tokens. recount() opens a tree over them, applies a log of edits in order and reads the new
-total off the root: an edit finds its place by descending the sums, re-encodes from the last
-pre-token that it can't reach (the pattern looks LOOK characters ahead) to the first boundary
-behind it where old and new pre-tokens meet again, and updates the sums on the way up.
+trees() builds a segment tree for every document: its leaves are blocks of BLOCK pre-tokens with
+their widths (in characters) and token counts, its inner nodes sums of both. The tree is stored
+beside the text, in packed columns, and opened without being built again. recount() applies a log
+of edits in order and reads the new total off the root: an edit finds its place by descending the
+sums, re-encodes from the last pre-token that it can't reach (the pattern looks LOOK characters
+ahead) to the first boundary behind it where old and new pre-tokens meet again, and updates the
+sums on the way up. The edited text and tree come out, so that the next log starts from them.
 
 An edit (start, end, insert) replaces the characters [start, end) of the text as it stands then;
 places beyond the end mean the end, negative ones 0, an end before the start the start, nulls 0
-or empty; a null edit does nothing. Null texts have null counts and take no edits; empty texts
-have 0 tokens and can be inserted into. Repeated rows are counted each; other columns are kept,
-those named as an output column are replaced.
+or empty; a null edit does nothing. Null texts have null counts and trees and take no edits; empty
+texts have 0 tokens and can be inserted into; very long texts are one tree each. Repeated and tied
+rows are counted each; doc_id may be of any type, or missing. Other columns are kept, those named
+as an output column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import PATTERN, VOCABULARY, Encoder, Leaves, encoder
-from tessera.llm.text import buffers, slices
+from tessera.llm.bpe import PATTERN, VOCABULARY, Encoder, Leaves, opened, ship
+from tessera.llm.text import buffers, ranges, slices
 
 CHUNK = 3_000_000
 #: Pre-tokens of a leaf of the tree.
@@ -34,40 +37,68 @@ LOOK = 2
 Edit = tuple[int, int, str]
 
 
+def build(widths: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(pre-tokens of each block, sums) of several texts' trees; words: n_texts + 1 offsets into the pre-tokens.
+
+    sums: for a tree of 2 ** k blocks 2 ** (k + 1) widths and as many counts, the root at 1, the children of i at 2 i and 2 i + 1.
+    """
+    per = np.diff(words)
+    n = np.maximum(1, -(-per // BLOCK))
+    ends = np.cumsum(n)
+    leaves = np.full(int(ends[-1]) if len(ends) else 0, BLOCK, np.uint32)
+    if len(ends):
+        leaves[ends - 1] = per - (n - 1) * BLOCK
+    cut = np.concatenate([[0], np.cumsum(leaves, dtype=np.int64)])
+    low = [np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[cut]) for x in (widths, tokens)]
+    size = 1 << np.ceil(np.log2(n)).astype(np.int64)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(per)
+    for s in np.unique(size).tolist():
+        mine = np.flatnonzero(size == s)
+        tree = np.zeros((len(mine), 2, 2 * s), np.int64)
+        row, col = np.repeat(np.arange(len(mine)), n[mine]), ranges(np.zeros(len(mine), np.int64), n[mine])
+        at = ranges(ends[mine] - n[mine], n[mine])
+        tree[row, 0, s + col], tree[row, 1, s + col] = low[0][at], low[1][at]
+        level = s
+        while level > 1:
+            tree[:, :, level // 2 : level] = tree[:, :, level : 2 * level : 2] + tree[:, :, level + 1 : 2 * level : 2]
+            level //= 2
+        for i, x in zip(mine.tolist(), tree.reshape(len(mine), 4 * s), strict=True):
+            out[i] = x
+    return np.split(leaves, ends[:-1]) if len(ends) else [], out
+
+
 class Tree:
-    """Segment tree over blocks of pre-tokens; sums of characters and tokens at every node."""
+    """A stored segment tree over blocks of pre-tokens; only blocks that edits touch are taken out of its arrays."""
 
-    def __init__(self, text: str, widths: np.ndarray, tokens: np.ndarray, enc: Encoder):
+    def __init__(self, text: str, widths: np.ndarray, tokens: np.ndarray, leaves: np.ndarray, sums: np.ndarray, enc: Encoder):
         import regex
 
         self.enc, self.find = enc, regex.compile(PATTERN).finditer
         self.reencoded = 0
-        self._build(text, widths, tokens)
-
-    def _build(self, text: str, widths: np.ndarray, tokens: np.ndarray) -> None:
-        n = max(1, -(-len(widths) // BLOCK))
-        self.size = 1 << (n - 1).bit_length()
-        ends = np.cumsum(widths)
-        self.blocks: list[tuple[str, list[int], list[int]]] = []
-        at = 0
-        for lo in range(0, n * BLOCK, BLOCK):
-            w = widths[lo : lo + BLOCK]
-            end = int(ends[min(lo + BLOCK, len(ends)) - 1]) if len(ends) else 0
-            self.blocks.append((text[at:end], w.tolist(), tokens[lo : lo + BLOCK].tolist()))
-            at = end
-        self.blocks += [("", [], [])] * (self.size - n)
-        self.width, self.count = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, (t, _, c) in enumerate(self.blocks):
-            self.width[self.size + i], self.count[self.size + i] = len(t), sum(c)
-        for i in range(self.size - 1, 0, -1):
-            self._sum(i)
+        self._open(text, widths, tokens, leaves, sums)
+
+    def _open(self, text: str, widths: np.ndarray, tokens: np.ndarray, leaves: np.ndarray, sums: np.ndarray) -> None:
+        self.base, self.widths, self.tokens, self.leaves = text, widths, tokens, leaves
+        self.size = len(sums) // 4
+        self.at = np.concatenate([[0], np.cumsum(leaves, dtype=np.int64)])
+        self.start = np.concatenate([[0], np.cumsum(sums[self.size : self.size + len(leaves)])])
+        self.width, self.count = sums[: 2 * self.size].tolist(), sums[2 * self.size :].tolist()
+        self.changed: dict[int, tuple[str, list[int], list[int]]] = {}
+
+    def block(self, b: int) -> tuple[str, list[int], list[int]]:
+        if b in self.changed:
+            return self.changed[b]
+        if b >= len(self.leaves):
+            return "", [], []
+        mine = slice(int(self.at[b]), int(self.at[b + 1]))
+        return self.base[self.start[b] : self.start[b + 1]], self.widths[mine].tolist(), self.tokens[mine].tolist()
 
     def _sum(self, i: int) -> None:
         self.width[i] = self.width[2 * i] + self.width[2 * i + 1]
         self.count[i] = self.count[2 * i] + self.count[2 * i + 1]
 
     def _set(self, b: int, block: tuple[str, list[int], list[int]]) -> None:
-        self.blocks[b] = block
+        self.changed[b] = block
         i = self.size + b
         self.width[i], self.count[i] = len(block[0]), sum(block[2])
         while i > 1:
@@ -87,9 +118,26 @@ class Tree:
     def _pieces(self, text: str) -> list[int]:
         return [m.end() - m.start() for m in self.find(text)]
 
-    @property
-    def text(self) -> str:
-        return "".join(t for t, _, _ in self.blocks)
+    def packed(self) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, widths, tokens, pre-tokens of each block, sums) as the edits left them; what they didn't touch is copied in one go."""
+        texts, arrays, leaves, done, n = [], ([], []), self.leaves.astype(np.uint32), 0, len(self.leaves)
+        if (most := max(self.changed, default=-1) + 1) > n:
+            leaves = np.concatenate([leaves, np.zeros(most - n, np.uint32)])
+        for b in [*sorted(self.changed), None]:
+            upto = n if b is None else min(b, n)
+            if upto > done:
+                texts.append(self.base[self.start[done] : self.start[upto]])
+                for to, x in zip(arrays, (self.widths, self.tokens), strict=True):
+                    to.append(x[self.at[done] : self.at[upto]])
+            if b is not None:
+                t, w, c = self.changed[b]
+                texts.append(t)
+                arrays[0].append(np.array(w, np.uint32))
+                arrays[1].append(np.array(c, np.uint32))
+                leaves[b] = len(w)
+                done = max(done, b + 1)
+        widths, tokens = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in arrays)
+        return "".join(texts), widths, tokens, leaves, np.array(self.width + self.count, np.int64)
 
     def edit(self, start: int | None, end: int | None, insert: str | None) -> None:
         total = self.width[1]
@@ -101,7 +149,7 @@ class Tree:
         last, last_base = self._descend(end)
         text, widths, tokens = "", [], []
         for b in range(first, last + 1):
-            t, w, c = self.blocks[b]
+            t, w, c = self.block(b)
             text, widths, tokens = text + t, widths + w, tokens + c
         # what ends LOOK characters before the edit or earlier stays
         keep, at = 0, 0
@@ -132,7 +180,7 @@ class Tree:
                 p += w
             if meet is not None or (complete and p == len(new)):
                 break
-            t, w, c = self.blocks[more]
+            t, w, c = self.block(more)
             text, widths, tokens = text + t, widths + w, tokens + c
             more += 1
         middle = new[:p]
@@ -150,10 +198,10 @@ class Tree:
         for b in range(first + 1, min(more, self.size)):
             self._set(b, ("", [], []))
         self._set(first, block)
-        if len(block[1]) > 16 * BLOCK:
-            w = [x for b in self.blocks for x in b[1]]
-            c = [x for b in self.blocks for x in b[2]]
-            self._build(self.text, np.array(w, np.int64), np.array(c, np.int64))
+        if len(block[1]) > 16 * BLOCK:  # even blocks again
+            text, widths, tokens, _, _ = self.packed()
+            (leaves,), (sums,) = build(widths, tokens, np.array([0, len(widths)]))
+            self._open(text, widths, tokens, leaves, sums)
 
     @property
     def total(self) -> int:
@@ -168,22 +216,37 @@ def _fields(df: DataFrame, keep: list[str], rest: str) -> str:
     return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), rest])
 
 
+STORED = ("widths", "tokens", "leaves", "sums")
+_STORED = "widths binary, tokens binary, leaves binary, sums binary"
+
+
+def _cells(parts: list[np.ndarray] | np.ndarray, at: np.ndarray | None = None) -> pa.Array:
+    """Binary cells: each part's bytes, or those of the values between offsets."""
+    if at is None:
+        at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        parts = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * parts.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(parts))]).cast(pa.binary())
+
+
 def trees(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs with the leaves of each text's tree: ``widths`` and ``tokens``, packed 32-bit integers."""
-    keep = _others(docs, "widths", "tokens")
+    """docs with each text's tree: ``widths`` and ``tokens`` of its pre-tokens, ``leaves`` (pre-tokens of each block; packed 32-bit integers) and ``sums`` (64-bit)."""
+    keep = _others(docs, *STORED)
+    shipped = ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = opened(shipped)
         for batch in batches:
             data, offsets = buffers(batch["text"])
             for lo, hi in slices(offsets, CHUNK):
-                leaves = Leaves(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                at = pa.py_buffer((leaves.doc_words * 4).astype(np.int32))
-                packed = [pa.Array.from_buffers(pa.binary(), hi - lo, [None, at, pa.py_buffer(x.astype(np.uint32))]) for x in (leaves.characters, enc.counts(leaves))]
+                words = Leaves(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                widths, tokens = words.characters.astype(np.uint32), enc.counts(words).astype(np.uint32)
+                leaves, sums = build(widths, tokens, words.doc_words)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *packed], [*keep, "widths", "tokens"])
+                valid = part["text"].is_valid()
+                made = [pa.compute.if_else(valid, x, None) for x in (_cells(widths, words.doc_words), _cells(tokens, words.doc_words), _cells(leaves), _cells(sums))]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *made], [*keep, *STORED])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _fields(docs, keep, "widths binary, tokens binary"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _fields(docs, keep, _STORED))
 
 
 _PERSONAL = re.compile(r"(?P<EMAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<PHONE>\+\d{1,3} \(\d{3}\) \d{3}-\d{4})|(?P<CARD>(?<!\d)\d{16}(?!\d))|(?P<LINE>(?<=\n)(?P<line>[^\n]{20,}\n)(?=(?P=line)))")
@@ -199,36 +262,51 @@ def redactions(text: str) -> list[Edit]:
     return out
 
 
-def recount(trees: DataFrame, editor: Callable[[str], list[Edit]] | None = None, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """trees' other columns with n_tokens, n_edits, n_tokens_edited and n_reencoded (pre-tokens).
+_COUNTS = ("n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
 
-    Edits come from the column ``edits`` (array<struct<start, end, insert>>), or from ``editor``.
+
+def recount(trees: DataFrame, editor: Callable[[str], list[Edit]] | None = None, *, vocabulary: str = VOCABULARY, keep_trees: bool = True) -> DataFrame:
+    """trees' other columns with n_tokens, n_edits, n_tokens_edited and n_reencoded (pre-tokens), and (keep_trees) the edited text and tree for the next log.
+
+    Edits come from the column ``edits`` (array<struct<start, end, insert>>), which goes, or from ``editor``.
     """
-    keep = _others(trees, "text", "widths", "tokens", "edits", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
+    keep = _others(trees, "text", "edits", *STORED, *_COUNTS)
+    shipped = ship(trees.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            widths, wat = buffers(batch["widths"])
-            tokens, tat = buffers(batch["tokens"])
-            widths, tokens, wat, tat = widths.view(np.uint32), tokens.view(np.uint32), wat // 4, tat // 4
-            sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
-            before = sums[tat[1:]] - sums[tat[:-1]]
-            after, done, again = before.copy(), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-            logs = None if editor else batch["edits"].to_pylist()
-            for i, t in enumerate(texts):
-                if t is None:
-                    continue
-                log = editor(t) if editor else [(e["start"], e["end"], e["insert"]) for e in logs[i] or () if e is not None]
-                if log:
-                    tree = Tree(t, widths[wat[i] : wat[i + 1]], tokens[tat[i] : tat[i + 1]], enc)
-                    for e in log:
-                        tree.edit(*e)
-                    after[i], done[i], again[i] = tree.total, len(log), tree.reencoded
-            valid = batch["text"].is_valid()
-            made = [pa.compute.if_else(valid, pa.array(x), None) for x in (before, done, after, again)] if len(texts) else [pa.array(x) for x in (before, done, after, again)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *made], [*keep, "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"])
-
-    cols = [*keep, "text", "widths", "tokens", *([] if editor else ["edits"])]
-    return trees.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(run, _fields(trees, keep, "n_tokens long, n_edits int, n_tokens_edited long, n_reencoded int"))
+        enc = opened(shipped)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                n = batch.num_rows
+                valid = batch["text"].is_valid()
+                stored = [buffers(batch[c]) for c in STORED]
+                (widths, wat), (tokens, tat), (leaves, lat), (sums, sat) = ((x.view(k), at // k().itemsize) for (x, at), k in zip(stored, (np.uint32, np.uint32, np.uint32, np.int64), strict=True))
+                size = np.diff(sat) // 4
+                before = np.where(size > 0, sums[np.minimum(sat[:-1] + 2 * size + 1, max(len(sums) - 1, 0))], 0) if len(sums) else np.zeros(n, np.int64)  # the roots
+                after, done, again = before.copy(), np.zeros(n, np.int32), np.zeros(n, np.int32)
+                texts = batch["text"].to_pylist()
+                logs = None if editor else batch["edits"].to_pylist()
+                changed: dict[int, tuple] = {}
+                for i, t in enumerate(texts):
+                    if t is None:
+                        continue
+                    log = editor(t) if editor else [(e["start"], e["end"], e["insert"]) for e in logs[i] or () if e is not None]
+                    if log:
+                        tree = Tree(t, widths[wat[i] : wat[i + 1]], tokens[tat[i] : tat[i + 1]], leaves[lat[i] : lat[i + 1]], sums[sat[i] : sat[i + 1]], enc)
+                        for e in log:
+                            tree.edit(*e)
+                        after[i], done[i], again[i] = tree.total, len(log), tree.reencoded
+                        if keep_trees:
+                            changed[i] = tree.packed()
+                made = [pa.compute.if_else(valid, pa.array(x), None) for x in (before, done, after, again)]
+                names = [*keep, *_COUNTS]
+                if keep_trees:
+                    parts = [[changed[i][j + 1] if i in changed else x[at[i] : at[i + 1]] for i in range(n)] for j, (x, at) in enumerate(((widths, wat), (tokens, tat), (leaves, lat), (sums, sat)))]
+                    made += [pa.array([changed[i][0] if i in changed else t for i, t in enumerate(texts)], pa.string()), *(pa.compute.if_else(valid, _cells(x), None) for x in parts)]
+                    names += ["text", *STORED]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *made], names)
+
+    cols = [*keep, "text", *STORED, *([] if editor else ["edits"])]
+    rest = "n_tokens long, n_edits int, n_tokens_edited long, n_reencoded int" + (f", text string, {_STORED}" if keep_trees else "")
+    return trees.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(run, _fields(trees, keep, rest))

@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import bpe, brown, chat, jaccard, pieces, quality, registry, rlz, suffix_dedup, templates, token_counts, token_files
+from tessera.llm.common import shared_dir
 from tessera.llm.text import buffers
 from tests.conftest import SF
 
@@ -80,7 +81,7 @@ def test_pretokens_equal_the_pattern():
     data = b"".join(raw)
     got = [[data[leaves.start[i] : leaves.end[i]].decode() for i in range(leaves.doc_words[k], leaves.doc_words[k + 1])] for k in range(len(texts))]
     assert got == [regex.findall(bpe.PATTERN, t) for t in texts]
-    enc = bpe.Encoder()
+    enc = bpe.encoder()
     ids, at = enc.encode(np.frombuffer(data, np.uint8), leaves.offsets)
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == enc.encoding.encode_ordinary_batch(texts)
 
@@ -105,6 +106,39 @@ def test_op1_edits_equal_recounting(spark):
         assert (got[i].n_tokens, got[i].n_edits, got[i].n_tokens_edited) == (count(text), len(log), count(now)), i
 
 
+def test_op1_takes_log_after_log(spark):
+    """Each log starts from the tree that the one before it left; little of a long text is encoded again."""
+    r, count = random.Random(6), lambda t: len(bpe.encoder().encoding.encode_ordinary(t))
+    now = {0: " ".join(words(20_000, 1)), 1: "", 2: None, 3: " ".join(words(90, 2)), 4: "y" * 50_000}
+    fields = "doc_id long, text string, other string"
+    docs = token_counts.trees(spark.createDataFrame([(i, t, "o") for i, t in now.items()], fields))
+    for step in range(4):
+        logs = {}
+        for i, t in now.items():
+            log = []
+            for _ in range(r.randrange(1, 6)) if t is not None else ():
+                a = r.randrange(len(t) + 2)
+                b, new = a + r.choice([0, 1, 7, 300]), r.choice(["", " ", "'ll", "\n \n", "hello there ", "x " * 1500 if step == 1 and i == 3 else "q"])
+                log.append((a, b, new))
+                t = t[:a] + new + t[b:]
+            logs[i], now[i] = log, t
+        edits = spark.createDataFrame(list(logs.items()), "doc_id long, edits array<struct<start:int,end:int,insert:string>>")
+        docs = spark.createDataFrame(token_counts.recount(docs.drop("n_tokens", "n_edits", "n_tokens_edited", "n_reencoded").join(edits, "doc_id")).toArrow())
+        got = {x.doc_id: x for x in docs.collect()}
+        for i, t in now.items():
+            assert (got[i].text, got[i].n_tokens_edited, got[i].other) == (t, None if t is None else count(t), "o")
+        assert got[0].n_reencoded < 200 and got[2].widths is None
+        again = {x.doc_id: x for x in token_counts.recount(docs, lambda t: []).collect()}
+        assert all(again[i].n_tokens == got[i].n_tokens_edited for i in now)
+
+
+def test_op1_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "n", 5, b"w")], "doc_id long, text string, n_tokens string, Sums int, widths binary")
+    row = token_counts.recount(token_counts.trees(docs), lambda t: [(0, 1, "zz")]).first()
+    assert sorted(row.asDict()) == sorted(["doc_id", "text", "widths", "tokens", "leaves", "sums", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"])
+    assert (row.text, row.n_tokens, row.n_tokens_edited) == ("zz b c", 3, len(bpe.encoder().encoding.encode_ordinary("zz b c")))
+
+
 def test_op1_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     enc = bpe.encoder().encoding
@@ -432,6 +466,27 @@ def test_op7_round_trip(spark):
         reader[len(reader)]
 
 
+def test_op7_leaves_the_files_of_others_alone(spark, tmp_path):
+    (tmp_path / "mine.txt").write_text("mine")
+    with pytest.raises(FileExistsError):
+        token_files.write(odd(spark), f"file://{tmp_path}")
+    assert [x.name for x in tmp_path.iterdir()] == ["mine.txt"] and (tmp_path / "mine.txt").read_text() == "mine"
+    _, folder = token_files.write(spark.createDataFrame([("a", "x y", 1, 2)], "doc_id string, text string, part int, start int"), f"file://{tmp_path}/new")
+    assert len(token_files.Reader(folder)) == 1 and len(list((tmp_path / "new").iterdir())) == 3
+
+
+def test_a_cluster_must_name_the_shared_folder(spark):
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
 def test_op7_query(spark, sf):
     enc = bpe.encoder().encoding
     want = {r.doc_id: len(enc.encode_ordinary(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
