@@ -1,24 +1,28 @@
 """Language-model scoring with class-based bigrams after Brown et al., classes by exchange clustering.
 
-All documents are counted: first words, then pairs of neighbours. The vocabulary holds every
-word of at least SHARE of all words, so that it can have 1 / SHARE entries at most, however
-large the corpus; any other word is of the class *unknown*, whose emissions are even over its
-words. A document begins in a class of its own.
+All documents are counted: first words, then pairs of neighbours. Every word that occurs twice or
+more is in the vocabulary, which grows with the corpus. Its CLUSTERED most frequent words are
+clustered by exchange; their keys and classes are all that is broadcast. The other words, held in
+a table by hash, take the class that makes the contexts before them most likely; as a context they
+are one class of their own, *rare*. Words that occur once are of the class *unknown*, whose
+emissions are even over its words. A document begins in a class of its own.
 
 Exchange clustering moves words to the class with the greatest gain in the likelihood of the
-class bigrams. A round evaluates every word of one half of the vocabulary against the counts
+class bigrams. A round evaluates every word of one half of the clustered words against the counts
 before the round (in parallel over a table of each word's neighbours, written once) and then
-moves them together; the best of the rounds is kept. The state between rounds is a byte for
-each word of the vocabulary and a matrix of classes by classes.
+moves them together. It ends when two rounds, one for each half, have raised the likelihood by
+less than TOLERANCE of it; the best state is kept. The state between rounds is a class for
+each clustered word and a matrix of classes by classes.
 
-P(word | before) = P(class | class before) P(word | class). Transitions are smoothed towards the
+P(word | before) = P(class | context before) P(word | class). Transitions are smoothed towards the
 class unigrams (a Dirichlet prior of weight PRIOR), these by one count for each class; so
 every probability is positive. Perplexity is exp(-mean log P) over a document's words.
 
 Words are runs of ASCII letters and digits and of all bytes beyond ASCII, lower-cased in ASCII.
-Texts without words, null and empty ones included, have 0 words and a null perplexity. Repeated
-rows count each; null identifiers are kept; other columns are ignored. An empty table gives an
-empty result.
+Texts without words, null and empty ones included, have 0 words and a null perplexity; very long
+texts are read whole. Repeated rows count each; of words tied in count the one with the lesser hash
+is the more frequent. doc_id may be of any type, nulls are kept; other columns, clashing names
+(n_words, perplexity) included, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
-from tessera.llm.text import ALNUM, U64, Words, buffers, slices
+from tessera.llm.text import ALNUM, U64, Words, buffers, by_run, slices, starts
 
-#: A word's least share of all words for a place in the vocabulary.
-SHARE = 1e-6
+#: So many words, the most frequent, are clustered; the others find their class when these are settled.
+CLUSTERED = 131_072
 CLASSES = 32
-ROUNDS = 6
+#: Two rounds that gain less than this part of the likelihood are the last.
+TOLERANCE = 1e-5
 PRIOR = 5.0
 CHUNK = 3_000_000
 #: Words or pairs that a task counts before it hands on their counts.
@@ -49,12 +55,21 @@ _LOWER[65:91] += 32
 
 @dataclass
 class Model:
-    """keys: sorted hashes of the vocabulary; kind: each word's class, then those of unknown words and of the beginning; log-probabilities."""
+    """keys: sorted hashes of the clustered words; kind: each one's class, then those of rare or unknown words and of the beginning, as contexts; log-probabilities.
+
+    emission: of the clustered words. transition: of classes (columns; the last but one is unknown)
+    after contexts. size: words of each class. rare: (h, kind, n) of the other words that occur
+    more than once. unknown: words that occur once.
+    """
 
     keys: np.ndarray
     kind: np.ndarray
     emission: np.ndarray
     transition: np.ndarray
+    size: np.ndarray
+    rare: DataFrame
+    unknown: int
+    rounds: int
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +150,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by word, one row for each word: its neighbours (doubled, odd if they come before it) and counts."""
 
     def rows(t: pa.Table) -> pa.RecordBatch:
-        w, o, n = (t[c].to_numpy() for c in ("w", "o", "n"))
+        x, n = t["x"].to_numpy(), t["n"].to_numpy()
+        w, o = (x >> 32).astype(np.int32), (x & 0xFFFFFFFF).astype(np.int32)
         at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         ends = np.append(at, len(w))
         packed = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))]) for v in (o, n)]
@@ -147,7 +163,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
-        w = held["w"].to_numpy()
+        w = held["x"].to_numpy() >> 32
         if w[0] != w[-1] and len(w) > 100_000:
             cut = int(np.searchsorted(w, w[-1]))
             yield rows(held.slice(0, cut))
@@ -224,8 +240,9 @@ def _moves(shipped, k: int, half: int) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, matrix = shipped.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                w, row, o, n = _unpacked(batch.slice(lo, 128))
+            step = max(1, min(128, 200_000 // k**2))
+            for lo in range(0, batch.num_rows, step):
+                w, row, o, n = _unpacked(batch.slice(lo, step))
                 mine = np.flatnonzero((w < len(kind) - 2) & (w % 2 == half))
                 if not len(mine):
                     continue
@@ -244,26 +261,65 @@ def _moves(shipped, k: int, half: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def train(docs: DataFrame, *, share: float = SHARE, classes: int = CLASSES, rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+def _contexts(shipped, begin: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """(h, c): each rare word with its context's class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, kind = shipped.value
+        for _, h, at in _chunks(batches):
+            ids = identify(keys, h)
+            on = np.flatnonzero(ids == len(keys))
+            context = kind[_before(ids, at, len(keys) + 1)[on]]
+            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(context.astype(np.int32))], ["h", "c"])
+
+    return run
+
+
+def _settle(weight: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rare words' contexts sorted by word: (h, kind, n, null) of each word, its class the best by weight (contexts by classes),
+    and (null, kind, n, context) sums of the task."""
+    k = len(weight)
+    total = np.zeros((k, k), np.int64)
+
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, c = t["h"].to_numpy(), t["c"].to_numpy()
+        at = starts(h)
+        row = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+        n = np.bincount(row, minlength=len(at))
+        seen = np.bincount(row * k + c, minlength=len(at) * k).reshape(len(at), k)
+        kind = np.where(n > 1, (seen @ weight).argmax(1), k - 2)
+        np.add.at(total, (c, kind[row]), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(kind.astype(np.int32)), pa.array(n), pa.nulls(len(at), pa.int32())], ["h", "kind", "n", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total[:] = 0
+        yield from by_run(batches, "h", flush)
+        c, kind = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.array(kind.astype(np.int32)), pa.array(total[c, kind]), pa.array(c.astype(np.int32))], ["h", "kind", "n", "c"])
+
+    return run
+
+
+def train(docs: DataFrame, *, clustered: int = CLUSTERED, classes: int = CLASSES, tolerance: float = TOLERANCE, prior: float = PRIOR) -> Model:
     sc = docs.sparkSession.sparkContext
     texts = docs.select("text")
-    counts = written(texts.mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    found = counts.where(F.col("n") >= share * total).toArrow()  # 1 / share rows at most
+    counts = texts.mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counts.where("n > 1").orderBy(F.desc("n"), "h").limit(clustered).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(h)
-    keys, n = h[order], n[order]
-    v, k = len(keys), classes + 2
-    kind = np.empty(v + 2, np.uint8)
-    kind[:v][np.lexsort((keys, -n))] = np.arange(v) % classes
+    v, k = len(h), classes + 2
+    keys = h[order]
+    kind = np.empty(v + 2, np.uint16)
+    kind[:v] = np.arange(v)[order] % classes
+    n = n[order]
     kind[v:] = [classes, classes + 1]
 
     shipped = sc.broadcast(keys)
     pairs = texts.mapInArrow(_bigrams(shipped), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    a, b = F.shiftright("p", 32).cast("int"), F.col("p").bitwiseAND(0xFFFFFFFF).cast("int")
-    sides = F.array(F.struct(a.alias("w"), (b * 2).alias("o")), F.struct(b.alias("w"), (a * 2 + 1).alias("o")))
+    a, b = F.shiftright("p", 32), F.col("p").bitwiseAND(0xFFFFFFFF)
+    sides = F.array(F.shiftleft(a, 32).bitwiseOR(b * 2), F.shiftleft(b, 32).bitwiseOR(a * 2 + 1))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.select(F.explode(sides).alias("s"), "n").select("s.w", "s.o", "n").repartition(parts, "w").sortWithinPartitions("w")
+    rows = pairs.select(F.explode(sides).alias("x"), "n").repartition(parts, F.shiftright("x", 32)).sortWithinPartitions("x")
     near = written(rows.mapInArrow(_pack, "w int, o binary, n binary"), "neighbours")
 
     def counted(kind: np.ndarray) -> np.ndarray:
@@ -274,40 +330,81 @@ def train(docs: DataFrame, *, share: float = SHARE, classes: int = CLASSES, roun
 
     matrix = counted(kind)
     best = (likelihood(matrix), kind, matrix)
-    for r in range(rounds):
-        got = near.mapInArrow(_moves(sc.broadcast((kind, matrix)), k, r % 2), "w int, c int").toArrow()  # a row for each word of the vocabulary at most
+    rounds = idle = 0
+    while idle < 2:
+        got = near.mapInArrow(_moves(sc.broadcast((kind, matrix)), k, rounds % 2), "w int, c int").toArrow()  # a row for each clustered word at most
+        rounds, idle = rounds + 1, idle + 1
         if got.num_rows:
             kind = kind.copy()
             kind[got["w"].to_numpy()] = got["c"].to_numpy()
             matrix = counted(kind)
-            best = max(best, (likelihood(matrix), kind, matrix), key=lambda x: x[0])
+            now = likelihood(matrix)
+            if now > best[0] + tolerance * abs(best[0]):
+                idle = 0
+            best = max(best, (now, kind, matrix), key=lambda x: x[0])
     _, kind, matrix = best
-    unigram = (matrix.sum(0) + 1) / (matrix.sum() + k)
-    transition = np.log((matrix + prior * unigram) / (matrix.sum(1, keepdims=True) + prior))
-    emission = np.zeros(v + 2)
+    # the column of rare words, in which the clustering held them together, goes to the classes that they settle in
     size = np.bincount(kind[:v], n, k) if v else np.zeros(k)
-    emission[:v] = np.log(n / np.maximum(size[kind[:v]], 1))
-    emission[v] = -np.log(max(distinct - v, 1))
-    return Model(keys, kind, emission, transition)
+    seen = matrix.copy()
+    seen[:, classes:] = 0
+    weight = np.log((seen + prior / k) / (seen.sum(0) + prior))
+    weight[:, classes:] = -np.inf
+    contexts = texts.mapInArrow(_contexts(sc.broadcast((keys, kind)), v + 1), "h long, c int")
+    settled = written(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_settle(weight), "h long, kind int, n long, c int"), "rare-words")
+    got = settled.where("h is null").groupBy("c", "kind").agg(F.sum("n")).toArrow()  # classes by classes
+    c, to, m = (x.to_numpy() for x in got.columns)
+    np.add.at(seen, (c, to), m)
+    np.add.at(size, to, m)
+    rare = settled.where("h is not null and n > 1").select("h", "kind", "n")
+    unknown = settled.where("n = 1 and h is not null").count()
+    unigram = (seen.sum(0) + 1) / (seen.sum() + k)
+    transition = np.log((seen + prior * unigram) / (seen.sum(1, keepdims=True) + prior))
+    emission = np.log(n / np.maximum(size[kind[:v]], 1))
+    return Model(keys, kind, emission, transition, size, rare, unknown, rounds)
+
+
+_PARTS = "r long, {}, n_words long, known double, h long, c int"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, perplexity)"""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 17 bytes for each word of the vocabulary
+    shipped = docs.sparkSession.sparkContext.broadcast((model.keys, model.kind, model.emission, model.transition))  # some bytes for each clustered word
+    name = "doc_id " + docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        """A row for each document with what the clustered words give, and one for each rare word with its context."""
+        keys, kind, emission, transition = shipped.value
+        emission = np.append(emission, 0)
+        row = TaskContext.get().partitionId() << 40
         for batch, h, at in _chunks(batches):
-            ids = identify(m.keys, h)
-            logs = m.transition[m.kind[_before(ids, at, len(m.keys) + 1)], m.kind[ids]] + m.emission[ids]
+            ids = identify(keys, h)
+            context = kind[_before(ids, at, len(keys) + 1)]
+            known = ids < len(keys)
+            logs = np.where(known, transition[context, kind[ids]] + emission[ids], 0.0)
             size = np.diff(at)
             full = size > 0
             sums = np.zeros(len(size))
             sums[full] = np.add.reduceat(logs, at[:-1][full]) if full.any() else 0
-            perplexity = np.exp(-sums / np.maximum(size, 1))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size), pa.array(perplexity, mask=~full)], ["doc_id", "n_words", "perplexity"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, perplexity double")
+            names = ["r", "doc_id", "n_words", "known", "h", "c"]
+            m = len(size)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), batch["doc_id"], pa.array(size), pa.array(sums), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
+            on = np.flatnonzero(~known)
+            owner = row + np.repeat(np.arange(m), size)[on]
+            i = len(on)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.nulls(i, batch["doc_id"].type), pa.nulls(i, pa.int64()), pa.nulls(i, pa.float64()), pa.array(h[on].view(np.int64)), pa.array(context[on].astype(np.int32))], names)
+            row += m
+
+    # written, as row numbers are the tasks' own
+    parts = written(docs.select("doc_id", "text").mapInArrow(run, _PARTS.format(name)), "scored-parts")
+    k = len(model.transition)
+    table = F.array(*[F.lit(float(x)) for x in model.transition.ravel()])
+    size = F.array(*[F.lit(float(x)) for x in np.log(np.maximum(model.size, 1))])
+    kind = F.coalesce("kind", F.lit(k - 2))
+    own = F.when(F.col("kind").isNull() | (F.col("kind") == k - 2), -float(np.log(max(model.unknown, 1)))).otherwise(F.log("n") - F.get(size, kind))
+    rare = parts.where("h is not null").select("r", "h", "c").join(model.rare, "h", "left").select("r", (F.get(table, F.col("c") * k + kind) + own).alias("_l"))
+    sums = rare.groupBy("r").agg(F.sum("_l").alias("_l"))
+    total = F.col("known") + F.coalesce("_l", F.lit(0.0))
+    return parts.where("h is null").join(sums, "r", "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.exp(-total / F.col("n_words"))).alias("perplexity"))
 
 
 def perplexities(docs: DataFrame, **parameters: float) -> DataFrame:

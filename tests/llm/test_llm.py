@@ -361,36 +361,61 @@ def test_op5_learns_and_equals_brute_force(spark):
     nouns, verbs = [f"n{i}" for i in range(20)], [f"v{i}" for i in range(20)]
     texts = [" ".join(itertools.chain(*((r.choice(nouns), r.choice(verbs)) for _ in range(40)))) for _ in range(80)]
     docs = frame(spark, [*texts, None])
-    m = brown.train(docs, share=1e-9, classes=4)
+    m = brown.train(docs, clustered=1000, classes=4)
+    hashed = lambda w: int(brown.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
     ids = {int(k): i for i, k in enumerate(m.keys)}
+    kind = lambda w: int(m.kind[ids[hashed(w)]])
+    assert not {kind(w) for w in nouns} & {kind(w) for w in verbs}
+    got = {x.doc_id: (x.n_words, x.perplexity) for x in brown.score(docs, m).collect()}
+    assert got[len(texts)] == (0, None) and m.rounds > 2
+    shuffled = [" ".join(r.sample(t.split(), 80)) for t in texts[:20]]
+    worse = [x.perplexity for x in brown.score(frame(spark, shuffled), m).collect()]
+    assert np.mean(worse) > 1.3 * np.mean([got[i][1] for i in range(20)])
 
-    def kind(w):
-        raw = w.encode()
-        return int(m.kind[ids[int(brown.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0])]])
 
-    assert not {kind(w) for w in nouns} & {kind(w) for w in verbs}
-    order = [w for t in texts for w in t.split()]
-    n = {w: order.count(w) for w in set(order)}
-    size = {c: sum(n[w] for w in n if kind(w) == c) for c in range(6)}
-    pairs = np.zeros((6, 6))
+@pytest.mark.parametrize("clustered", [1000, 12])
+def test_op5_scores_equal_brute_force(spark, clustered):
+    """Also where most words are rare, and some occur once."""
+    r = random.Random(3)
+    texts = [" ".join([f"w{min(int(r.expovariate(0.06)), 60)}" for _ in range(r.randrange(1, 60))] + [f"once{i}"] * (i % 3 == 0)) for i in range(60)] + ["", "once0 new words"]
+    docs = frame(spark, texts, [None, *range(1, 61), 60])
+    m = brown.train(docs, clustered=clustered, classes=4)
+    hashed = lambda w: int(brown.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].view(np.int64)[0])
+    n = {}
+    for w in itertools.chain(*(t.split() for t in texts)):
+        n[w] = n.get(w, 0) + 1
+    ids = {int(k): i for i, k in enumerate(m.keys.view(np.int64))}
+    assert len(ids) == min(clustered, sum(c > 1 for c in n.values()))
+    rare = {x.h: x.kind for x in m.rare.collect()}
+    assert len(ids) + len(rare) == sum(c > 1 for c in n.values()) and m.unknown == sum(c == 1 for c in n.values())
+    kind = lambda w: int(m.kind[ids[hashed(w)]]) if hashed(w) in ids else rare.get(hashed(w), 4)
+    context = lambda w: int(m.kind[ids[hashed(w)]]) if hashed(w) in ids else 4
+    size, pairs = np.zeros(6), np.zeros((6, 6))
     for t in texts:
         before = 5
         for w in t.split():
             pairs[before, kind(w)] += 1
-            before = kind(w)
+            size[kind(w)] += 1
+            before = context(w)
     uni = (pairs.sum(0) + 1) / (pairs.sum() + 6)
-    got = {x.doc_id: (x.n_words, x.perplexity) for x in brown.score(docs, m).collect()}
-    for i, t in enumerate(texts[:20]):
+
+    def perplexity(t):
         before, total = 5, 0.0
         for w in t.split():
             c = kind(w)
-            total += math.log((pairs[before, c] + 5 * uni[c]) / (pairs[before].sum() + 5)) + math.log(n[w] / size[c])
-            before = c
-        assert got[i][1] == pytest.approx(math.exp(-total / 80))
-    assert got[len(texts)] == (0, None)
-    shuffled = [" ".join(r.sample(t.split(), 80)) for t in texts[:20]]
-    worse = [x.perplexity for x in brown.score(frame(spark, shuffled), m).collect()]
-    assert np.mean(worse) > 1.3 * np.mean([got[i][1] for i in range(20)])
+            total += math.log((pairs[before, c] + 5 * uni[c]) / (pairs[before].sum() + 5)) + (math.log(n[w] / size[c]) if c != 4 else -math.log(m.unknown))
+            before = context(w)
+        return math.exp(-total / len(t.split())) if t.split() else None
+
+    got = sorted(((x.doc_id or 0, x.n_words, x.perplexity or 0) for x in brown.score(docs, m).collect()))
+    want = sorted((i or 0, len(t.split()), perplexity(t) or 0) for i, t in zip([None, *range(1, 61), 60], texts))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
+def test_op5_takes_many_classes_and_clashing_names(spark):
+    docs = spark.createDataFrame([("a", " ".join(f"w{i} w{i}" for i in range(300)), 1, 2.0)], "doc_id string, text string, n_words int, Perplexity double")
+    out = brown.perplexities(docs, classes=260, clustered=280)
+    assert out.columns == ["doc_id", "n_words", "perplexity"] and out.first().n_words == 600
 
 
 def test_op5_gains_are_exact():
@@ -422,12 +447,6 @@ def test_op5_gains_are_exact():
         assert np.allclose(gain - gain[0], np.array(full) - full[0])
 
 
-def test_op5_unknown_words_share_a_class(spark):
-    docs = frame(spark, ["a b " * 50 + f"rare{i}" for i in range(20)])
-    m = brown.train(docs, share=0.01, classes=2)
-    assert len(m.keys) == 2 and m.emission[2] == pytest.approx(-math.log(20))
-
-
 def test_op6_equals_rules_in_any_order(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     from functools import reduce
