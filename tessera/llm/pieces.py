@@ -12,8 +12,13 @@ sample=False the draws are replaced by the heaviest last piece of the forward su
 Decoding joins the pieces' bytes: the space mark is a space, and a text's own U+2581 is spelt in
 byte pieces, so decode(encode(text)) is the text, whatever it holds.
 
-Null text gives null; empty text an empty list. Rows with equal doc_id and text give equal
-lists; a null doc_id counts as the least integer. Other columns are kept.
+Units of LONG bytes or more (a text without spaces is one) go side by side, character by
+character; their lattices keep only what matches, found along the beginnings of pieces.
+
+Null text gives null; empty text an empty list; very long texts are encoded whole. Rows with equal
+doc_id and text, repeated or tied ones too, give equal lists; a null doc_id counts as the least
+integer; doc_id must be an integer (else TypeError). Other columns are kept; text and one named as
+the output are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NULL_ID, fresh
-from tessera.llm.text import U64, buffers, combine, mix, ranges, slices
+from tessera.llm.common import NULL_ID, fresh, integral
+from tessera.llm.text import U64, buffers, combine, mix, ranges, slices, starts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 OFFSET = 2.7
 BYTE_WEIGHT = 1e-6
 CHUNK = 3_000_000
-#: Units of more bytes go one by one.
+#: Longer units, in bytes, go character by character.
 LONG = 64
 #: Cells of the lattices that are computed at a time.
 CELLS = 3_000_000
@@ -57,6 +62,9 @@ class Vocabulary:
     longest: int
     tables: list[tuple[int, np.ndarray]]
     keys: np.ndarray
+    #: Hashes of all beginnings of pieces, in whole characters, and which piece each is (-1: none).
+    prefix_keys: np.ndarray
+    prefix_ids: np.ndarray
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Identifiers of the pieces with these hashes, -1 where there is none."""
@@ -109,7 +117,16 @@ def load(model: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
         tables.append((shift, table))
         left = left[table[slot] != left]
     assert not len(left), "the pieces' hashes collide"
-    return Vocabulary(data, at, weight, byte_ids, int(size.max()), tables, keys)
+    begun: dict[int, int] = {}
+    for i in known:
+        h, text = 0, pieces[i]
+        for j, b in enumerate(text, 1):
+            h = (h * int(_BASE) + b + 1) % (1 << 64)
+            if j == len(text) or text[j] & 0xC0 != 0x80:
+                key = int(mix(np.array([h ^ (j << 56)], np.uint64))[0])
+                begun[key] = i if j == len(text) else begun.get(key, -1)
+    prefix_keys = np.array(sorted(begun), np.uint64)
+    return Vocabulary(data, at, weight, byte_ids, int(size.max()), tables, keys, prefix_keys, np.array([begun[x] for x in sorted(begun)], np.int32))
 
 
 @lru_cache(maxsize=4)
@@ -150,43 +167,107 @@ def _lattice(v: Vocabulary, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, ids
 
 
-def _long_unit(v: Vocabulary, raw: bytes, draw: Callable[[int], float | None]) -> list[int]:
-    """One unit, with logarithms; draw: the uniform of a step, or None for the heaviest."""
-    n = len(raw)
-    data = np.frombuffer(raw, np.uint8)
-    prefix = [0]
-    for b in raw:
-        prefix.append((prefix[-1] * int(_BASE) + b + 1) % (1 << 64))
-    p = np.array(prefix, np.uint64)
-    most = min(v.longest, n)
-    ids = np.full((n + 1, most + 1), -1, np.int32)
-    for length in range(1, most + 1):
-        ids[length:, length] = v.find(_key(p[length:], p[: n + 1 - length], length))
-    alone = ids[1:, 1] < 0
-    ids[1:, 1][alone] = v.byte_ids[data[alone]]
-    alpha = [0.0] * (n + 1)
-    edges: list[list[tuple[float, int, int]]] = [[]]
-    logs = np.log(np.maximum(v.weight, 1e-300)).tolist()
-    for j, row in enumerate(ids[1:].tolist(), 1):
-        here = [(alpha[j - ln] + logs[i], ln, i) for ln, i in enumerate(row) if ln and ln <= j and i >= 0]
-        top = max(x for x, _, _ in here)
-        alpha[j] = top + math.log(sum(math.exp(x - top) for x, _, _ in here))
-        edges.append(here)
-    out, j, step = [], n, 0
-    while j:
-        u = draw(step)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _edges(v: Vocabulary, data: np.ndarray, begins: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first character, character behind, piece, log weight) of all matches; piece -1: a character's bytes.
+    begins: where characters begin, and the end; last: the end of each character's unit, in characters."""
+    n = len(begins) - 1
+    power = np.cumprod(np.concatenate([[U64(1)], np.full(len(data), _BASE)]))
+    scaled = (data.astype(np.uint64) + U64(1)) * np.cumprod(np.full(len(data), _INVERSE))
+    sums = np.concatenate([[U64(0)], np.cumsum(scaled)])
+    log = np.log(np.maximum(v.weight, 1e-300))
+    out = []
+    live, step = np.arange(n), 0
+    single = np.zeros(n, bool)
+    while len(live):
+        step += 1
+        a, b = begins[live], begins[live + step]
+        key = mix(((sums[b] - sums[a]) * power[b]) ^ ((b - a).astype(np.uint64) << U64(56)))
+        at = np.minimum(np.searchsorted(v.prefix_keys, key), len(v.prefix_keys) - 1)
+        hit = v.prefix_keys[at] == key
+        live, piece = live[hit], v.prefix_ids[at[hit]]
+        on = piece >= 0
+        out.append((live[on], live[on] + step, piece[on], log[piece[on]]))
+        if step == 1:
+            single[live[on]] = True
+        live = live[live + step + 1 <= last[live]]
+    size = np.diff(begins)
+    spelt = np.flatnonzero(~single | (size > 1))
+    out.append((spelt, spelt + 1, np.full(len(spelt), -1, np.int32), size[spelt] * math.log(BYTE_WEIGHT)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _long_units(v: Vocabulary, data: np.ndarray, size: np.ndarray, draw: Callable[[np.ndarray, int], np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces of all units, one after another; how many each has). data: the units' bytes, one after another;
+    draw: the uniforms of some units at a step, or None for the heaviest."""
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.cumsum(size)
+    bound = np.concatenate([[0], np.searchsorted(begins, ends)])
+    chars = np.diff(bound)
+    begins = np.append(begins, len(data))
+    first, behind, piece, weight = _edges(v, data, begins, np.repeat(bound[1:], chars))
+    owner = np.repeat(np.arange(len(size)), chars)[first]
+    # the longest units first, so that those still going on are the first
+    rank = np.empty(len(size), np.int64)
+    rank[np.argsort(-chars, kind="stable")] = np.arange(len(size))
+    place = behind - bound[owner]
+    order = np.lexsort((behind - first, rank[owner], place))
+    first, behind, piece, weight, owner, place = (x[order] for x in (first, behind, piece, weight, owner, place))
+    node = behind + owner  # a node more than characters for each unit
+    source = first + owner
+    groups = starts(node)
+    edge = np.append(groups, len(node))
+    target = node[groups]
+    alpha = np.full(len(begins) - 1 + len(size), -np.inf)
+    alpha[bound[:-1] + np.arange(len(size))] = 0
+    steps = np.append(starts(place[groups]), len(groups))
+    for lo, hi in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+        a, b = edge[lo], edge[hi]
+        x = alpha[source[a:b]] + weight[a:b]
+        at = groups[lo:hi] - a
+        top = np.maximum.reduceat(x, at)
+        x -= np.repeat(top, np.diff(edge[lo : hi + 1]))
+        alpha[target[lo:hi]] = top + np.log(np.add.reduceat(np.exp(x), at))
+    group_of = np.empty(len(alpha), np.int64)
+    group_of[target] = np.arange(len(groups))
+    live = np.flatnonzero(chars > 0)
+    here = bound[1:][live] + live
+    who, picked, step = [], [], 0
+    while len(live):
+        g = group_of[here]
+        per = edge[g + 1] - edge[g]
+        e = ranges(edge[g], per)
+        at = np.cumsum(per) - per
+        p = np.exp(alpha[source[e]] + weight[e] - np.repeat(alpha[here], per))
+        u = draw(live, step)
         if u is None:
-            _, length, i = max(edges[j], key=lambda e: (e[0], -e[1]))
+            best = p == np.repeat(np.maximum.reduceat(p, at), per)
+            pick = np.minimum.reduceat(np.where(best, e, len(node)), at)
         else:
-            left = u
-            for x, length, i in edges[j]:  # noqa: B007
-                left -= math.exp(x - alpha[j])
-                if left <= 0:
-                    break
-        out.append(i)
-        j -= length
+            c = np.cumsum(p)
+            c -= np.repeat(c[at] - p[at], per)
+            pick = edge[g] + np.minimum(np.add.reduceat((c <= np.repeat(u * c[at + per - 1], per)).astype(np.int64), at), per - 1)
+        who.append(live)
+        picked.append(pick)
+        here = source[pick]
+        more = here > bound[live] + live
+        live, here = live[more], here[more]
         step += 1
-    return out[::-1]
+    if not who:
+        return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
+    turn = np.repeat(np.arange(step), [len(x) for x in who])
+    who, picked = np.concatenate(who), np.concatenate(picked)
+    order = np.lexsort((-turn, who))
+    who, picked = who[order], picked[order]
+    a = first[picked]
+    spelt = piece[picked] < 0
+    per = np.where(spelt, begins[a + 1] - begins[a], 1)
+    out = np.repeat(piece[picked], per)
+    on = np.repeat(spelt, per)
+    out[on] = v.byte_ids[data[ranges(begins[a[spelt]], per[spelt])]]
+    return out.astype(np.int32), np.bincount(who, per, len(size)).astype(np.int64)
 
 
 def encode_buffers(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, *, sample: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -216,13 +297,15 @@ def encode_buffers(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds:
         live, at, left = live[more], at[more] + 8, left[more] - 8
     who, step_of, piece = [], [], []
     count = np.zeros(len(start), np.int64)
-    for u in np.flatnonzero(size > LONG).tolist():
-        k, i = key[u : u + 1], unit[u : u + 1]
-        ids = _long_unit(v, data[start[u] : end[u]].tobytes(), (lambda s, k=k, i=i: float(_uniform(k, i, s)[0])) if sample else (lambda s: None))
-        count[u] = len(ids)
-        who.append(np.full(len(ids), u))
-        step_of.append(np.arange(len(ids))[::-1])
-        piece.append(np.array(ids, np.int32))
+    long = np.flatnonzero(size > LONG)
+    edges = np.concatenate([[0], np.cumsum(size[long])])
+    for lo, hi in slices(edges, CHUNK):
+        mine = long[lo:hi]
+        ids, per = _long_units(v, data[ranges(start[mine], size[mine])], size[mine], (lambda i, s, mine=mine: _uniform(key[mine[i]], unit[mine[i]], s)) if sample else (lambda i, s: None))
+        count[mine] = per
+        who.append(np.repeat(mine, per))
+        step_of.append(np.repeat(np.cumsum(per), per) - 1 - np.arange(len(ids)))
+        piece.append(ids)
     short = np.flatnonzero(size <= LONG)
     order = short[np.lexsort((h[short], size[short]))]
     ho, so = h[order], size[order]
@@ -275,6 +358,7 @@ def _strings(data: np.ndarray, at: np.ndarray, valid: pa.Array) -> pa.Array:
 
 def encode(docs: DataFrame, *, model: str = MODEL, alpha: float = ALPHA, seed: int = 0, sample: bool = True, column: str = "ids") -> DataFrame:
     """docs with the pieces' identifiers in ``column`` (array<int>) in place of the text and any column of that name."""
+    integral(docs)
     vocabulary = docs.sparkSession.sparkContext.broadcast(_cached(model, alpha))
     keep = [c for c in docs.columns if c.lower() not in ("text", column.lower())]
 

@@ -547,6 +547,50 @@ def test_op8_draws_follow_the_lattice():
         assert abs(got.get(seg, 0) / n - p) < 5 * math.sqrt(p / n) + 1e-3
 
 
+@pytest.mark.parametrize("text", ["in", "né", "日x", "\u0000\uffffe"])
+def test_op8_long_units_follow_the_lattice(text):
+    """Units of any length can go character by character; the draws of short ones are countable."""
+    v, n = pieces.load(), 30_000
+    raw = text.encode()
+    r = np.random.default_rng(0)
+    ids, per = pieces._long_units(v, np.frombuffer(raw * n, np.uint8), np.full(n, len(raw)), lambda i, s: r.random(len(i)))
+    at = np.concatenate([[0], np.cumsum(per)])
+    got: dict = {}
+    for i in range(n):
+        seg = tuple(ids[at[i] : at[i + 1]].tolist())
+        got[seg] = got.get(seg, 0) + 1
+    byte = set(v.byte_ids.tolist())
+    known = {bytes(v.data[v.at[i] : v.at[i + 1]]): i for i in range(len(v.weight)) if v.weight[i] and i not in byte}
+
+    def segments(s):
+        if not s:
+            yield (), 1.0
+        for k in range(1, len(s) + 1):
+            p = known.get(s[:k], int(v.byte_ids[s[0]]) if k == 1 else None)
+            if p is not None:
+                for rest, w in segments(s[k:]):
+                    yield (p, *rest), w * v.weight[p]
+
+    want = dict(segments(raw))
+    total = sum(want.values())
+    assert set(got) <= set(want)
+    for seg, w in want.items():
+        p = w / total
+        assert abs(got.get(seg, 0) / n - p) < 5 * math.sqrt(p / n) + 1e-3
+    best, _ = pieces._long_units(v, np.frombuffer(raw, np.uint8), np.array([len(raw)]), lambda i, s: None)
+    assert tuple(best.tolist()) in want
+
+
+def test_op8_texts_without_spaces(spark):
+    r = random.Random(1)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(3000)), "日本語" * 500, "http://" + "ab/c?d=" * 40 + " x " + "é" * 70, "😀" * 100, "\n".join(["wörd" * 30] * 5), "y" * 20_000, "a" * 65]
+    docs = frame(spark, texts)
+    assert [r.text for r in pieces.decode(pieces.encode(docs)).orderBy("doc_id").collect()] == texts
+    assert [r.text for r in pieces.decode(pieces.encode(docs, sample=False)).orderBy("doc_id").collect()] == texts
+    again = lambda d: {r.doc_id: r.ids for r in pieces.encode(d).collect()}
+    assert again(docs) == again(docs.repartition(3, "text"))
+
+
 def grams(t, n=5):
     w = re.findall(r"[^\x00-\x20]+", t or "")
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
