@@ -43,7 +43,7 @@ from tessera.llm.text import ALNUM, U64, Words, buffers, by_run, slices, starts
 CLUSTERED = 131_072
 CLASSES = 32
 #: Two rounds that gain less than this part of the likelihood are the last.
-TOLERANCE = 1e-5
+TOLERANCE = 1e-4
 PRIOR = 5.0
 CHUNK = 3_000_000
 #: Words or pairs that a task counts before it hands on their counts.
