@@ -8,9 +8,15 @@ documents that an earlier branch rejects. The order changes the time taken, neve
 Toxicity has no fixed word list that would hold for every language, so a list of words and
 word beginnings is learned from the labelled documents by greedy set cover.
 
-Null or blank text is rejected by the rule ``empty``. A null doc_id, repeated rows and extra
-columns are kept as they are: each row is judged by its own text alone. An empty table gives
-an empty table; without toxic labels the rule ``toxic`` rejects nothing.
+judge() names the rule that rejected a document: the first of the order taken, so that where
+several would reject it the name follows the measured costs; what is kept doesn't. cascade()
+gives the order with the estimates.
+
+Null or blank text is rejected by the rule ``empty``; very long texts are judged whole. A null or
+tied doc_id, repeated rows and extra columns are kept as they are: each row is judged by its own
+text alone; columns named as an output column are replaced. An empty table gives an empty table;
+without toxic labels the rule ``toxic`` rejects nothing. To learn from labels doc_id must be an
+integer on both sides (else TypeError).
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import integral, written
 
 #: At most so many labelled documents teach the toxic word list.
 LABELLED_ROWS = 20_000
@@ -60,8 +66,37 @@ def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def rules(toxic: list[str] | None = None, *, max_symbols: float = 0.06, max_upper: float = 0.5, max_repeated_lines: float = 0.4, min_distinct_words: float = 0.35, min_toxic: int = 1) -> list[Rule]:
-    """The production rules. toxic: words, or beginnings of words that end in an asterisk."""
+#: Frequent words of English, German, French, Spanish, Italian and Portuguese.
+STOP = (
+    "the of and to in is that it for on with as was are be by this from or an at not "
+    "der die das und ist ein eine zu den von mit nicht auf le la les et des est une dans pour que qui el los de en un se con por para il di che per con non o e do da os as um uma"
+).split()
+LINK = r"https?://|www\."
+#: Mail addresses, telephone and card numbers.
+PERSONAL = r"[\w.+-]+@[\w-]+\.\w|\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)"
+BOILERPLATE = r"(?i)(?:all rights reserved|terms of (?:service|use)|privacy policy|cookie policy|we use cookies|subscribe to our|sign up for our|click here to|javascript is disabled|permission is hereby granted|licensed under the)"
+
+
+def rules(
+    toxic: list[str] | None = None,
+    *,
+    max_symbols: float = 0.06,
+    max_upper: float = 0.5,
+    max_repeated_lines: float = 0.4,
+    min_distinct_words: float = 0.35,
+    min_toxic: int = 1,
+    max_links: float = 0.3,
+    max_personal: float = 0.5,
+    max_boilerplate: float = 0.6,
+    max_word: int = 1000,
+    stop_words: int = 200,
+) -> list[Rule]:
+    """The production rules. toxic: words, or beginnings of words that end in an asterisk.
+
+    max_links, max_personal: of them for each space-separated word; max_boilerplate: phrases for
+    each line. max_word: letters of ASCII in a row. stop_words: a text of so many words of small
+    ASCII letters has one of STOP.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
     lines, words = F.split(text, "\n", -1), F.split(F.lower(text), " ", -1)
@@ -70,6 +105,11 @@ def rules(toxic: list[str] | None = None, *, max_symbols: float = 0.06, max_uppe
         Rule("symbols", F.regexp_count(text, F.lit(SYMBOLS)) / size > max_symbols),
         Rule("shouting", F.regexp_count(text, F.lit(UPPER)) / size > max_upper),
         Rule("repeated_lines", _bound(lines, lambda x: 1 - F.size(F.array_distinct(x)) / F.size(x) > max_repeated_lines)),
+        Rule("links", F.regexp_count(text, F.lit(LINK)) > max_links * F.size(F.split(text, " ", -1))),
+        Rule("personal", F.regexp_count(text, F.lit(PERSONAL)) > max_personal * F.size(F.split(text, " ", -1))),
+        Rule("boilerplate", F.regexp_count(text, F.lit(BOILERPLATE)) > max_boilerplate * F.size(F.split(text, "\n", -1))),
+        Rule("run_on", text.rlike(rf"[A-Za-z]{{{max_word}}}")),
+        Rule("language", ~text.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(STOP)})(?![\p{{L}}\p{{N}}])") & (F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}])[a-z]+(?![\p{L}\p{N}])")) >= stop_words)),
         Rule("repeated_words", _bound(words, lambda x: (F.size(x) >= 20) & (F.size(F.array_distinct(x)) / F.size(x) < min_distinct_words))),
     ]
     if toxic:
@@ -102,6 +142,8 @@ def learn_toxic(docs: DataFrame, labels: DataFrame, *, rows: int = LABELLED_ROWS
     accompany a toxic one in copies never follow. Labels that disagree about a document count
     as toxic; null labels are ignored.
     """
+    integral(docs)
+    integral(labels)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = F.broadcast(known)  # of at most ``rows`` rows
@@ -168,13 +210,27 @@ def rejected(cascade: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def judge(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """docs with a boolean ``keep`` in place of any column of that name."""
-    cascade = rules(learn_toxic(docs, labels) if labels is not None else None)
-    return docs.withColumn("keep", rejected(ordered(cascade, estimate(docs, cascade))).isNull())
+def _ordered(docs: DataFrame, labels: DataFrame | None, **limits: float) -> tuple[list[Rule], list[Estimate]]:
+    known = rules(learn_toxic(docs, labels) if labels is not None else None, **limits)
+    estimates = estimate(docs, known)
+    return ordered(known, estimates), estimates
+
+
+def judge(docs: DataFrame, labels: DataFrame | None = None, **limits: float) -> DataFrame:
+    """docs with a boolean ``keep`` and the ``rule`` that rejected (null where kept)."""
+    names = [c for c in docs.columns if c.lower() not in ("keep", "rule")]
+    rule = rejected(_ordered(docs, labels, **limits)[0])
+    return docs.select(*[F.col(f"`{c}`") for c in names], rule.alias("rule")).select(*[F.col(f"`{c}`") for c in names], F.col("rule").isNull().alias("keep"), "rule")
+
+
+def cascade(docs: DataFrame, labels: DataFrame | None = None, **limits: float) -> DataFrame:
+    """(place, rule, cost, selectivity, worth): the order in which the rules run, with their estimates."""
+    chain, estimates = _ordered(docs, labels, **limits)
+    by = {e.name: e for e in estimates}
+    rows = [(i, r.name, by[r.name].cost, by[r.name].selectivity, by[r.name].worth) for i, r in enumerate(chain, 1)]
+    return docs.sparkSession.createDataFrame(rows, "place int, rule string, cost double, selectivity double, worth double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, **limits: float) -> DataFrame:
     """The rows that every rule accepts, columns unchanged."""
-    cascade = rules(learn_toxic(docs, labels) if labels is not None else None)
-    return docs.where(rejected(ordered(cascade, estimate(docs, cascade))).isNull())
+    return docs.where(rejected(_ordered(docs, labels, **limits)[0]).isNull())

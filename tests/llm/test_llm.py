@@ -471,6 +471,42 @@ def test_op6_learns_toxic_words_and_rejects_junk(spark):
     assert all(got[i] == (i % 3 != 0) for i in range(120)) and not any(got[i] for i in range(120, 126))
 
 
+def test_op6_equals_rules_by_hand(spark):
+    """The rules again in Python, on each kind of junk and on near misses of it."""
+    plain = " ".join(words(60, 1)) + " and the end"
+    texts = ["", " \n", None, "#$%^ &*=+ {}|~ <> @@ a", "A" * 50 + " b", "same line\n" * 20, "copy copy " * 30, "see http://a.b/c www.d.e f", "mail a@b.cd x@y.zw", "call +1 (743) 555-3824", "All rights reserved", "Privacy Policy\nfine\nfine", "z" * 1000, "z" * 999, " ".join(f"{chr(97 + i % 26)}q{chr(97 + i // 26)}" for i in range(300)), plain, plain + " http://a.b", plain + " a@b.cd " + plain, "日本語" * 400]
+
+    def bad(t):
+        t = t or ""
+        n, spaced, lines = max(len(t), 1), t.split(" "), t.split("\n")
+        low = t.lower().split(" ")
+        word = r"(?<![^\W_]){}(?![^\W_])"
+        return (
+            not t.strip()
+            or len(re.findall(r"[!#$%&*+<=>@^_`~\\|{}]", t)) / n > 0.06
+            or len(re.findall("[A-ZÀ-ÖØ-Þ]", t)) / n > 0.5
+            or 1 - len(set(lines)) / len(lines) > 0.4
+            or len(low) >= 20 and len(set(low)) / len(low) < 0.35
+            or len(re.findall(quality.LINK, t)) > 0.3 * len(spaced)
+            or len(re.findall(quality.PERSONAL, t)) > 0.5 * len(spaced)
+            or len(re.findall(quality.BOILERPLATE, t)) > 0.6 * len(lines)
+            or bool(re.search("[A-Za-z]{1000}", t))
+            or not re.search("(?i)" + word.format("(?:" + "|".join(quality.STOP) + ")"), t) and len(re.findall(word.format("[a-z]+"), t)) >= 200
+        )
+
+    rows = {r.doc_id: r for r in quality.judge(frame(spark, texts)).collect()}
+    assert {i: r.keep for i, r in rows.items()} == {i: not bad(t) for i, t in enumerate(texts)}
+    assert {rows[i].rule for i in (2, 10, 12, 14, 15)} == {"empty", "boilerplate", "run_on", "language", None}
+    assert sum(r.keep for r in rows.values()) == 7
+
+
+def test_op6_shows_its_cascade(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = quality.cascade(docs).orderBy("place").collect()
+    assert [r.rule for r in got] != [] and {r.rule for r in got} == {r.name for r in quality.rules()}
+    assert all(a.worth >= b.worth for a, b in itertools.pairwise(got)) and all(r.cost > 0 and 0 <= r.selectivity <= 1 for r in got)
+
+
 def test_op7_round_trip(spark):
     docs = odd(spark).repartition(3)
     rows, folder = token_files.write(docs)
