@@ -5,10 +5,12 @@ left of either conversation becomes its completion. A completion's spans are the
 [start, end) on which a loss is to be taken: the assistant's words and their end marks. Markers
 that occur in a text are broken by a space, so that no text can open or close a turn.
 
-Null roles count as "user", null texts as empty. Two equal conversations prefer nothing: the pair
-goes. Where one continues the other, the shorter has an empty completion without spans. Null or
-empty conversations have no turns; pairs with null identifiers, repeated pairs and extra columns
-are kept (columns named as an output column are replaced).
+Null roles count as "user", null texts as empty; very long texts are rendered whole. Two equal
+conversations prefer nothing: the pair goes. Where one continues the other, the shorter has an
+empty completion without spans. Null or empty conversations have no turns; pairs with null
+identifiers, repeated or tied pairs and extra columns are kept (columns named as an output column
+are replaced). An empty table gives an empty result. Identifiers may be of any type that has an
+order.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-#: Neighbouring conversations lend each other replies within so many, by rank of identifier.
+#: Neighbouring conversations lend each other turns within so many, by rank of identifier.
 BLOCK = 64
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -50,26 +52,32 @@ def ranks(turns: DataFrame) -> tuple[DataFrame, int]:
 
 
 def pairs(turns: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """(pair_id, chosen, rejected): a conversation up to its last reply, and the same with the last reply of the next conversation of its block.
+    """(pair_id, chosen, rejected): a conversation up to its last reply, and the same up to one of its replies, going on as the next conversation of its block does.
+
+    They part at the first, second ... reply, in turn by rank; the other conversation is taken up
+    at its reply of that number, or its last, to its own last reply. So they part early or late,
+    with one or several turns left on either side.
 
     Blocks are of so many conversations in order of conv_id, however far apart the identifiers are.
-    The next after the last of a block is its first; one alone in its block takes the next reply
+    The next after the last of a block is its first; one alone in its block takes the next
     of all, after the last the first. One without a reply, and a single one with a reply, gives no pair.
     """
-    rows = conversations(turns).withColumn("_last", F.expr("size(turns) - array_position(reverse(transform(turns, t -> t.role = 'assistant')), true) + 1")).where("_last <= size(turns)")
-    rows = rows.select("conv_id", F.slice("turns", 1, F.col("_last").cast("int")).alias("chosen"))
-    rows = rows.withColumn("_reply", F.element_at("chosen", -1)["text"])
+    rows = conversations(turns).withColumn("_at", F.expr("filter(sequence(1, size(turns)), i -> get(turns, i - 1).role = 'assistant')")).where("size(_at) > 0")
+    rows = rows.select("conv_id", F.slice("turns", F.lit(1), F.element_at("_at", -1)).alias("chosen"), "_at")
+    rows = rows.withColumn("_mine", F.struct("chosen", "_at"))
     order, count = ranks(turns)
     rows = rows.join(order.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
     w = Window.partitionBy(F.floor(F.col("_rank") / block)).orderBy("_rank")
-    rows = rows.withColumn("_other", F.coalesce(F.lead("_reply").over(w), F.first("_reply").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    rows = rows.withColumn("_other", F.coalesce(F.lead("_mine").over(w), F.first("_mine").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     blocks = order.where("_nth is not null").groupBy(F.floor(F.col("_rank") / block)).agg(F.count("*").alias("_size"), F.min("_nth").alias("_of"))
     alone = blocks.where("_size = 1").select("_of", ((F.col("_of") + 1) % max(count, 1)).alias("_nth"))
     if count > 1 and not alone.isEmpty():
-        lent = rows.select("_nth", F.col("_reply").alias("_lent")).join(alone, "_nth").select(F.col("_of").alias("_nth"), "_lent")
+        lent = rows.select("_nth", F.col("_mine").alias("_lent")).join(alone, "_nth").select(F.col("_of").alias("_nth"), "_lent")
         rows = rows.join(lent, "_nth", "left").withColumn("_other", F.coalesce("_lent", "_other"))
-    swapped = F.concat(F.slice("chosen", 1, F.size("chosen") - 1), F.array(F.struct(F.lit("assistant").alias("role"), F.col("_other").alias("text"))))
-    return rows.select(F.col("conv_id").alias("pair_id"), "chosen", swapped.alias("rejected"))
+    nth = (F.col("_rank") % F.size("_at") + 1).cast("int")
+    theirs = F.element_at("_other._at", F.least(nth, F.size("_other._at")))
+    mixed = F.concat(F.slice("chosen", F.lit(1), F.element_at("_at", nth) - 1), F.slice("_other.chosen", theirs, F.size("_other.chosen")))
+    return rows.select(F.col("conv_id").alias("pair_id"), "chosen", mixed.alias("rejected"))
 
 
 def _plain(text: Column) -> Column:

@@ -58,16 +58,17 @@ def op10_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHAT_SQL = """
 WITH c AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-upto AS (SELECT conv_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY conv_id),
-reply AS (SELECT conv_id, last, text, lead(text) OVER w AS follower, first_value(text) OVER w AS head FROM upto JOIN c USING (conv_id) WHERE turn = last WINDOW w AS (PARTITION BY conv_id // 64 ORDER BY conv_id)),
-pair AS (SELECT conv_id, last, text AS good, coalesce(follower, head) AS bad FROM reply WHERE text <> coalesce(follower, head)),
-prompt AS (SELECT p.conv_id, CAST(count(c.turn) AS INTEGER) AS n, coalesce(string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn), '') AS prompt FROM pair AS p LEFT JOIN c ON p.conv_id = c.conv_id AND c.turn < p.last GROUP BY p.conv_id)
-SELECT conv_id AS pair_id, n AS prompt_turns, prompt,
-  '<|im_start|>assistant' || chr(10) || replace(good, '<|', '< |') || '<|im_end|>' || chr(10) AS chosen,
-  '<|im_start|>assistant' || chr(10) || replace(bad, '<|', '< |') || '<|im_end|>' || chr(10) AS rejected,
-  '22-' || (32 + length(replace(good, '<|', '< |'))) AS chosen_spans,
-  '22-' || (32 + length(replace(bad, '<|', '< |'))) AS rejected_spans
-FROM pair JOIN prompt USING (conv_id)
+t AS (SELECT conv_id, list(struct_pack(role := role, r := '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10)) ORDER BY turn, role, text) AS l FROM c GROUP BY conv_id),
+n AS (SELECT conv_id, l, row_number() OVER (ORDER BY conv_id) - 1 AS k, list_filter(range(1, len(l) + 1), lambda i: l[i].role = 'assistant') AS pos FROM t),
+u AS (SELECT conv_id, k, pos, l[1:(pos[-1])] AS l FROM n WHERE len(pos) > 0),
+o AS (SELECT conv_id, k, pos, l, coalesce(lead(l) OVER w, first_value(l) OVER w) AS ol, coalesce(lead(pos) OVER w, first_value(pos) OVER w) AS opos FROM u WINDOW w AS (PARTITION BY k // 64 ORDER BY k)),
+p AS (SELECT conv_id, l AS a, list_concat(l[1:(pos[1 + k % len(pos)] - 1)], ol[(opos[least(1 + k % len(pos), len(opos))]):]) AS b FROM o),
+q AS (SELECT conv_id, a, b, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS m FROM p WHERE a <> b)
+SELECT conv_id AS pair_id, CAST(m AS INTEGER) AS prompt_turns, array_to_string(list_transform(a[1:m], lambda x: x.r), '') AS prompt,
+  array_to_string(list_transform(a[m + 1:], lambda x: x.r), '') AS chosen, array_to_string(list_transform(b[m + 1:], lambda x: x.r), '') AS rejected,
+  array_to_string(list_filter(list_transform(a[m + 1:], lambda y, i: CASE WHEN y.role = 'assistant' THEN (coalesce(list_sum(list_transform(a[m + 1:m + i - 1], lambda z: length(z.r))), 0) + 22)::BIGINT || '-' || (coalesce(list_sum(list_transform(a[m + 1:m + i - 1], lambda z: length(z.r))), 0) + length(y.r) - 1)::BIGINT END), lambda s: s IS NOT NULL), ',') AS chosen_spans,
+  array_to_string(list_filter(list_transform(b[m + 1:], lambda y, i: CASE WHEN y.role = 'assistant' THEN (coalesce(list_sum(list_transform(b[m + 1:m + i - 1], lambda z: length(z.r))), 0) + 22)::BIGINT || '-' || (coalesce(list_sum(list_transform(b[m + 1:m + i - 1], lambda z: length(z.r))), 0) + length(y.r) - 1)::BIGINT END), lambda s: s IS NOT NULL), ',') AS rejected_spans
+FROM q
 """
 
 _JACCARD_SQL = """
