@@ -1,23 +1,27 @@
 """Full-text search: tokens, stems, postings, Boolean search and BM25. No step needs a UDF.
 
-Only the query's terms are kept before anything is shuffled, so a search moves matches alone.
+One-off searches count their terms in the text, in one scan without arrays. An Index keeps
+postings and lengths as tables; a search reads the postings of its terms only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "is", "was")
+STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "is", "are")
 K1, B = 1.5, 0.75
+#: What stands between white space, without the marks at its ends; of two bytes or more.
+TOKEN = r"[\p{L}\p{N}]\S*[\p{L}\p{N}]|[\p{L}\p{N}&&[^\x00-\x7F]]"
+BUCKETS = 64
 
 
 def tokens_of(text: Column) -> Column:
     """Lower-cased words without marks at their ends, of two bytes or more."""
-    raw = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(raw, lambda w: F.octet_length(w) > 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def stem(c: Column) -> Column:
@@ -27,7 +31,13 @@ def stem(c: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a token is the term."""
+    marks = r"[^\s\p{L}\p{N}]*"
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<!\S){marks}\Q{term.lower()}\E{marks}(?!\S)"))
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", *, stop: bool = False, stemmed: bool = False) -> DataFrame:
@@ -43,19 +53,14 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return tokens(docs, key, text).groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
-def _hits(docs: DataFrame, terms: Sequence[str], key: str, text: str) -> DataFrame:
-    wanted = F.array(*[F.lit(t.lower()) for t in terms])
-    found = F.filter(tokens_of(F.col(text)), lambda t: F.array_contains(wanted, t))
-    return docs.select(key, word_count(F.col(text)).alias("_len"), F.explode(found).alias("term"))
-
-
 def search_all(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    mine = tokens_of(F.col(text))
-    return docs.where(F.size(F.array_except(F.array(*[F.lit(t.lower()) for t in terms]), mine)) == 0).select(key).distinct()
+    found = [term_count(F.col(text), t) > 0 for t in terms]
+    return docs.where(reduce(lambda a, b: a & b, found, F.lit(True))).select(key).distinct()
 
 
 def search_any(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.where(F.arrays_overlap(tokens_of(F.col(text)), F.array(*[F.lit(t.lower()) for t in terms]))).select(key).distinct()
+    found = [term_count(F.col(text), t) > 0 for t in terms]
+    return docs.where(reduce(lambda a, b: a | b, found, F.lit(False))).select(key).distinct()
 
 
 def idf(n: Column, total: Column) -> Column:
@@ -68,8 +73,45 @@ def bm25_term(tf: Column, size: Column, mean: Column, weight: Column, k1: float
 
 def bm25(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text", *, k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of the documents that hold any of the terms."""
-    whole = docs.agg(F.count("*").alias("_total"), F.avg(word_count(F.col(text))).alias("_mean"))
-    hits = _hits(docs, terms, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("_len").alias("_len"))
-    weights = hits.groupBy("term").agg(F.count("*").alias("_n")).crossJoin(whole)  # a row for each of the query's terms
-    scored = hits.join(weights, "term")
-    return scored.groupBy(key).agg(F.sum(bm25_term(F.col("tf"), F.col("_len"), F.col("_mean"), idf(F.col("_n"), F.col("_total")), k1, b)).alias("score"))
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    names = [f"_tf{i}" for i in range(len(terms))]
+    counted = docs.select(key, word_count(F.col(text)).alias("_len"), *(term_count(F.col(text), t).alias(n) for t, n in zip(terms, names, strict=True)))
+    whole = counted.agg(F.count("*").alias("_total"), F.avg("_len").alias("_mean"), *(F.count_if(F.col(n) > 0).alias(f"_n{n}") for n in names))
+    hits = counted.where(reduce(lambda x, y: x | y, [F.col(n) > 0 for n in names])).crossJoin(F.broadcast(whole))  # one row
+    parts = [F.when(F.col(n) > 0, bm25_term(F.col(n), F.col("_len"), F.col("_mean"), idf(F.col(f"_n{n}"), F.col("_total")), k1, b)).otherwise(0.0) for n in names]
+    return hits.select(key, reduce(lambda x, y: x + y, parts).alias("score"))
+
+
+class Index:
+    """Postings by term, in BUCKETS folders by the term's hash, beside the documents' lengths."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id"):
+        self.spark, self.folder, self.key = spark, folder, key
+
+    @classmethod
+    def build(cls, docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> Index:
+        """Of documents with distinct keys."""
+        rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("term", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
+        docs.select(key, word_count(F.col(text)).alias("size")).write.parquet(f"{folder}/lengths")
+        return cls(docs.sparkSession, folder, key)
+
+    def postings(self, terms: Sequence[str]) -> DataFrame:
+        """(term, key, tf, positions) of the terms; no other bucket's files are read."""
+        terms = [t.lower() for t in terms]
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+        return self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+
+    def search(self, terms: Sequence[str], *, every: bool = True) -> DataFrame:
+        """(key) of documents that hold every term, or any."""
+        terms = {t.lower() for t in terms}
+        return self.postings(sorted(terms)).groupBy(self.key).agg(F.count("*").alias("_n")).where(F.col("_n") >= (len(terms) if every else 1)).select(self.key)
+
+    def bm25(self, terms: Sequence[str], *, k1: float = K1, b: float = B) -> DataFrame:
+        """(key, score) of the documents that hold any of the terms."""
+        lengths = self.spark.read.parquet(f"{self.folder}/lengths")
+        hits = self.postings(sorted({t.lower() for t in terms}))
+        whole = lengths.agg(F.count("*").alias("_total"), F.avg("size").alias("_mean"))
+        weights = hits.groupBy("term").agg(F.count("*").alias("_n")).crossJoin(whole)  # a row for each term
+        scored = hits.join(F.broadcast(weights), "term").join(lengths, self.key)
+        return scored.groupBy(self.key).agg(F.sum(bm25_term(F.col("tf"), F.col("size"), F.col("_mean"), idf(F.col("_n"), F.col("_total")), k1, b)).alias("score"))

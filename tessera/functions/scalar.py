@@ -98,13 +98,59 @@ def date_diff(a: Column, b: Column) -> Column:
 def cast(c: Column, to: str) -> Column:
     kinds = {"INTEGER": "bigint", "INT": "bigint", "FLOAT": "double", "DOUBLE": "double", "VARCHAR": "string", "TEXT": "string"}
     if to.upper() in ("BOOLEAN", "BOOL"):
-        return F.lower(c.cast("string")).isin("true", "1", "yes")
+        return truth(c)
+    if kinds[to.upper()] in ("bigint", "double"):
+        return c.try_cast(kinds[to.upper()])
     return c.cast(kinds[to.upper()])
 
 
+def truth(c: Column) -> Column:
+    """Numbers are true unless they are 0; texts if they say true, 1 or yes, in any case."""
+    number = c.cast("string").try_cast("double")
+    said = F.lower(c.cast("string"))
+    return F.when(F.typeof(c) == "string", said.isin("true", "1", "yes")).otherwise(F.when(F.typeof(c) == "boolean", said == "true").otherwise(number != 0))
+
+
 def json_path(c: Column, path: str) -> Column:
     return F.get_json_object(c, "$." + path)
 
 
 def json_exists(c: Column, path: str) -> Column:
     return json_path(c, path).isNotNull()
+
+
+def array_has(c: Column, value: object) -> Column:
+    return F.array_contains(c, value)
+
+
+def array_meets(c: Column, values: list[object]) -> Column:
+    """Whether the array holds any of the values."""
+    return F.arrays_overlap(c, F.array(*map(F.lit, values)))
+
+
+def array_distinct(c: Column) -> Column:
+    return F.array_distinct(c)
+
+
+def array_sorted(c: Column) -> Column:
+    return F.array_sort(c)
+
+
+def array_joined(c: Column, by: str) -> Column:
+    return F.array_join(c, by)
+
+
+def array_size(c: Column) -> Column:
+    return F.array_size(c)
+
+
+def map_keys(c: Column) -> Column:
+    return F.map_keys(c)
+
+
+def map_values(c: Column) -> Column:
+    return F.map_values(c)
+
+
+def map_get(c: Column, key: object) -> Column:
+    return F.try_element_at(c, F.lit(key))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 
 def neighbours(edges: DataFrame, node: object) -> DataFrame:
     """Targets of the node's edges, one row for each edge."""
@@ -15,15 +17,23 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, hops): nodes within depth hops and the fewest hops; each level joins the new frontier only."""
-    steps = edges.select("src", "dst").distinct()
-    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).cast("long").alias("hops")).distinct()
-    frontier = seen
-    for hop in range(1, depth + 1):
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """(start, node, hops): nodes within depth hops and the fewest hops; each level joins the new frontier only, and is written.
+
+    Without a depth all that can be reached.
+    """
+    steps = written(edges.select("src", "dst").distinct(), "steps")
+    first = written(starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).cast("long").alias("hops")).distinct(), "level")
+    return _levels(steps, first, first, depth)
+
+
+def _levels(steps: DataFrame, seen: DataFrame, frontier: DataFrame, depth: int | None, hop: int = 1) -> DataFrame:
+    while depth is None or hop <= depth:
         found = frontier.join(steps, frontier["node"] == steps["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long"))
-        seen = seen.unionByName(frontier)
+        frontier = written(found.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long")), "level")
+        if frontier.isEmpty():
+            break
+        seen, hop = seen.unionByName(frontier), hop + 1
     return seen
 
 
@@ -45,14 +55,8 @@ def shortest_path(edges: DataFrame, start: object, end: object, max_depth: int)
     return out.select("path", (F.size("path") - 1).cast("long").alias("hops")).orderBy("hops", "path").limit(1)
 
 
-def on_cycles(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(id): nodes that reach themselves within max_depth hops."""
-    steps = edges.select("src", "dst").distinct()
-    walk = steps.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    seen = walk
-    frontier = walk
-    for _ in range(max_depth - 1):
-        found = frontier.join(steps, frontier["node"] == steps["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen, ["start", "node"], "left_anti")
-        seen = seen.unionByName(frontier)
-    return seen.where("start = node").select(F.col("start").alias("id")).distinct()
+def on_cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id): nodes that reach themselves, within max_depth hops if given."""
+    steps = written(edges.select("src", "dst").distinct(), "steps")
+    walk = written(steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).cast("long").alias("hops")), "level")
+    return _levels(steps, walk, walk, max_depth, 2).where("start = node").select(F.col("start").alias("id")).distinct()

@@ -7,17 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 
 def metric_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, min, max, avg, p95, p99); percentile q is the value at place floor(n q) from 0, the greatest beyond.
 
-    Ranks are taken within a key by a sort that can spill; nothing is collected into arrays.
+    Equal values are counted first, then put in ranges over all keys, so that a key with most of
+    the rows is spread too; a place is a range's start, from the counts of the ranges before it,
+    and the running count within it.
     """
-    w = Window.partitionBy(key)
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy("_v")) - 1, "_n": F.count("*").over(w)})
-    at = lambda q: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * q), F.col("_n") - 1), F.col("_v")))
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("avg"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    # written, as the bounds of ranges may differ when they are computed again
+    counts = written(counts.repartitionByRange(parts, key, "_v").withColumn("_p", F.spark_partition_id()), "metric-counts")
+    spread = Window.partitionBy("_k").orderBy("_p")
+    ranges = counts.groupBy(F.col(key).alias("_k"), "_p").agg(F.sum("_c").alias("_m"))  # a row for each key and range
+    ranges = ranges.withColumns({"_before": F.sum("_m").over(spread) - F.col("_m"), "_n": F.sum("_m").over(Window.partitionBy("_k"))}).withColumnRenamed("_p", "_q")
+    placed = counts.join(ranges.drop("_m"), (F.col(key).eqNullSafe(F.col("_k"))) & (F.col("_p") == F.col("_q")))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_p", key).orderBy("_v"))
+    placed = placed.withColumn("_upto", upto)
+    at = lambda q: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * q), F.col("_n") - 1), F.col("_v")))
+    total = F.sum("_c").alias("n")
+    return placed.groupBy(key).agg(total, F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("avg"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def top(df: DataFrame, by: str, n: int, key: str) -> DataFrame:
@@ -56,6 +68,6 @@ def tumbling(df: DataFrame, time: str, width: str, keys: Sequence[str], *aggrega
 def sessions(df: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
     """(key, session_start, session_end, n): runs of rows no further apart than the gap."""
     w = Window.partitionBy(key).orderBy(time)
-    apart = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(F.lag(time).over(w).cast("timestamp"))
-    rows = df.withColumn("_new", F.when(apart <= gap_seconds, 0).otherwise(1)).withColumn("_s", F.sum("_new").over(w))
+    near = F.col(time) <= F.lag(time).over(w) + F.make_interval(secs=F.lit(gap_seconds))
+    rows = df.withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_s", F.sum("_new").over(w))
     return rows.groupBy(key, "_s").agg(F.min(time).alias("session_start"), F.max(time).alias("session_end"), F.count("*").alias("n")).drop("_s")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 JOINS = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full", "CROSS": "cross", "SEMI": "left_semi", "ANTI": "left_anti"}
 STRATEGIES = {"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast", "nested_loop": "shuffle_replicate_nl"}
 AGGREGATES = {
@@ -75,7 +77,7 @@ def aggregate(df: DataFrame, keys: Sequence[str], items: Sequence[tuple[str, str
 def window_spec(partition: Sequence[str], order: Sequence[tuple[str, bool]] = (), frame: tuple[str, int, int] | None = None) -> WindowSpec:
     """order: (column, ascending); nulls come first in either. frame: ("rows" or "range", from, to)."""
     spec = Window.partitionBy(*partition)
-    spec = spec.orderBy(*[F.asc_nulls_first(c) if up else F.desc_nulls_first(c) for c, up in order]) if order else spec.orderBy(F.lit(1))
+    spec = spec.orderBy(*sort_keys(order)) if order else spec.orderBy(F.lit(1))
     if frame:
         spec = spec.rowsBetween(*frame[1:]) if frame[0] == "rows" else spec.rangeBetween(*frame[1:])
     return spec
@@ -85,6 +87,8 @@ def window(df: DataFrame, alias: str, name: str, partition: Sequence[str] = (),
     """df with one window function's value on each row; first and last span the partition unless a frame is given."""
     ranked = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank}
     name = name.lower()
+    if name == "row_number" and order and not partition:
+        return numbered(df, alias, order)
     if name in ranked:
         value = ranked[name]().over(window_spec(partition, order))
     elif name == "ntile":
@@ -100,9 +104,34 @@ def window(df: DataFrame, alias: str, name: str, partition: Sequence[str] = (),
     return df.withColumn(alias, value)
 
 
+def sort_keys(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.asc_nulls_first(c) if up else F.desc_nulls_first(c) for c, up in order]
+
+
+def numbered(df: DataFrame, alias: str, order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """df with each row's number in the order over all rows: ranges of it are numbered beside each other, from the counts of those before."""
+    spark, keys = df.sparkSession, sort_keys(order)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written, as the bounds of ranges may differ when they are computed again
+    rows = written(df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before, n = [], 0
+    for part, size in sorted(rows.groupBy("_range").count().collect()):  # a row for each range
+        before.append((part, n))
+        n += size
+    starts = F.broadcast(spark.createDataFrame(before, "_range int, _before long"))
+    out = rows.join(starts, "_range").withColumn(alias, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    return out.drop("_range", "_before")
+
+
+def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], *aggregates: Column) -> DataFrame:
+    """Groups by each of the sets of columns, null where a set lacks one."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(*aggregates)
+
+
 def ordered(df: DataFrame, order: Sequence[tuple[str, bool]] = (), limit: int | None = None, offset: int | None = None) -> DataFrame:
     if order:
-        df = df.orderBy(*[F.asc_nulls_first(c) if up else F.desc_nulls_first(c) for c, up in order])
+        df = df.orderBy(*sort_keys(order))
     if offset:
         df = df.offset(offset)
     return df if limit is None else df.limit(limit)

@@ -1,15 +1,27 @@
-"""Cosine distance and nearest neighbours over array columns."""
+"""Cosine distance and nearest neighbours over array columns.
+
+A set of queries goes against all vectors in blocks: each task multiplies its vectors by a block
+of queries and hands on the nearest of each batch, so that what is shuffled is a few rows for
+each query and batch. An index of inverted lists narrows a search to the lists nearest to a query.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Distance where there is no angle: another dimension, no elements, no length.
 NO_ANGLE = 2.0
 DEFAULT_K = 5
+#: Queries that are sent to the tasks at once.
+QUERY_BLOCK = 10_000
+#: Vectors that an index is fitted on, at most.
+SAMPLE = 20_000
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -35,14 +47,110 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, *, key:
     return out.orderBy("distance", key).limit(k)
 
 
+def _unit(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of length one; zeros where a vector has another dimension, a null or no length."""
+    out = np.zeros((len(column), width))
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    mine = np.flatnonzero(size == width)
+    if width and len(mine):
+        out[mine] = np.nan_to_num(column.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, width)
+        length = np.sqrt((out * out).sum(1, keepdims=True))
+        out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+    return out
+
+
+def _against(shipped, key: str, embedding: str, keep: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """Of each batch the pairs that keep (a mask of the distances, queries by vectors) names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, groups = shipped.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                for width, (where, q) in groups.items():
+                    v = _unit(part[embedding], width)
+                    angle = (np.abs(q).sum(1) > 0)[:, None] & (np.abs(v).sum(1) > 0)[None, :]
+                    distance = np.round(np.where(angle, 1 - q @ v.T, NO_ANGLE), 6)
+                    i, j = np.nonzero(keep(distance))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(where[i])), part[key].take(pa.array(j)), pa.array(distance[i, j])], ["query", key, "distance"])
+
+    return run
+
+
+def _pairs(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    rows = queries.select(key, embedding).toArrow().combine_chunks()  # a stated set of queries, sent on in blocks
+    kind = vectors.schema[key].dataType.simpleString()
+    sc, out = vectors.sparkSession.sparkContext, None
+    for lo in range(0, max(rows.num_rows, 1), QUERY_BLOCK):
+        part = rows.slice(lo, QUERY_BLOCK)
+        column = part[embedding].combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.float32()))
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        groups = {int(w): (np.flatnonzero(size == w), _unit(column.take(pa.array(np.flatnonzero(size == w))), int(w))) for w in np.unique(size)}
+        found = vectors.select(key, embedding).mapInArrow(_against(sc.broadcast((part[key].combine_chunks() if part.num_rows else part[key], groups)), key, embedding, keep), f"query {kind}, {key} {kind}, distance double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def knn_of(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query, key, distance, place) for each row of queries; the queries are scanned beside the vectors."""
-    a = queries.select(F.col(key).alias("query"), F.col(embedding).alias("_q"))
-    both = a.crossJoin(vectors.select(key, embedding)).where(F.col("query") != F.col(key))
-    near = both.select("query", key, F.round(cosine_distance(F.col("_q"), F.col(embedding)), 6).alias("distance"))
+    """(query, key, distance, place) of the k nearest of each query but itself; ties by key."""
+
+    def nearest(distance: np.ndarray) -> np.ndarray:  # one more, as a query may be among them
+        n = distance.shape[1]
+        return distance <= np.partition(distance, min(k, n - 1), axis=1)[:, min(k, n - 1)][:, None] if n else distance > 0
+
+    near = _pairs(vectors, queries, key, embedding, nearest).where(F.col("query") != F.col(key))
     ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)).cast("long"))
     return ranked.where(F.col("place") <= k)
 
 
+def within(vectors: DataFrame, queries: DataFrame, similarity: float, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query, key, distance) of all vectors but the query itself of the least cosine similarity or more."""
+    return _pairs(vectors, queries, key, embedding, lambda d: 1 - d >= similarity).where(F.col("query") != F.col(key))
+
+
+class InvertedLists:
+    """Every vector in the list of its nearest centre. Centres are fitted on SAMPLE vectors at most; every row is in the index."""
+
+    def __init__(self, vectors: DataFrame, lists: int = 16, *, key: str = "vec_id", embedding: str = "embedding", rounds: int = 10):
+        self.key, self.embedding = key, embedding
+        first = vectors.select(embedding).orderBy(F.xxhash64(key), key).limit(SAMPLE).toArrow()[embedding].combine_chunks()
+        width = int(pc.max(pc.list_value_length(first)).as_py() or 0) if len(first) else 0
+        x = _unit(first, width)
+        x = x[np.abs(x).sum(1) > 0]
+        centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)] if len(x) else np.zeros((1, width))
+        for _ in range(rounds):
+            mine = (x @ centres.T).argmax(1) if len(x) else np.zeros(0, int)
+            for c in range(len(centres)):
+                if (mine == c).any():
+                    m = x[mine == c].mean(0)
+                    centres[c] = m / max(np.linalg.norm(m), 1e-12)
+        self.centres = centres
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((_unit(batch[embedding], width) @ centres.T).argmax(1).astype(np.int32))], [key, embedding, "_list"])
+
+        fields = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in (key, embedding))
+        self.rows = vectors.select(key, embedding).mapInArrow(assign, f"{fields}, _list int")
+
+    def search(self, queries: DataFrame, k: int = DEFAULT_K, *, probes: int = 6) -> DataFrame:
+        """(query, key, distance, place) among the vectors of each query's nearest lists."""
+        centres, key, embedding = self.centres, self.key, self.embedding
+        width = centres.shape[1]
+
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = np.argsort(-(_unit(batch[embedding], width) @ centres.T), axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch[key].take(rows), batch[embedding].take(rows), pa.array(near.ravel().astype(np.int32))], ["query", "_q", "_list"])
+
+        kind = [queries.schema[c].dataType.simpleString() for c in (key, embedding)]
+        probed = queries.select(key, embedding).mapInArrow(lists, f"query {kind[0]}, _q {kind[1]}, _list int")
+        near = probed.join(self.rows, "_list").where(F.col("query") != F.col(key))
+        near = near.select("query", key, F.round(cosine_distance(F.col("_q"), F.col(embedding)), 6).alias("distance"))
+        ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)).cast("long"))
+        return ranked.where(F.col("place") <= k)
+
+
 def wrong_dimension(vectors: DataFrame, dimension: int, embedding: str = "embedding") -> DataFrame:
     return vectors.where(F.coalesce(F.size(embedding), F.lit(-1)) != dimension)

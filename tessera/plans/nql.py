@@ -6,13 +6,14 @@ import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import fulltext
 from tessera.operators import graph, relational, vector
+from tessera.plans import explain
 from tessera.sources.database import Database, Exists, Missing
 
 COMPARE = {
@@ -25,6 +26,7 @@ COMPARE = {
     "like": lambda c, v: c.like(v),
     "between": lambda c, v: c.between(*v),
 }
+ISOLATION = ("read_uncommitted", "read_committed", "repeatable_read", "serializable")
 RANKING = ("row_number", "rank", "dense_rank", "lag", "lead", "first_value", "last_value", "ntile", "percent_rank")
 
 
@@ -34,8 +36,8 @@ class CommandError(Exception):
         self.code = code
 
 
-def field(df: DataFrame, path: str) -> Column:
-    """A column, or what a dotted path reaches inside a struct, a variant or JSON text."""
+def field(df: DataFrame, path: str, kind: str = "string") -> Column:
+    """A column, or what a dotted path reaches inside a struct, a variant or JSON text, as a kind; null where it is of another."""
     if path in df.columns:
         return F.col(f"`{path}`")
     head, _, rest = path.partition(".")
@@ -44,13 +46,30 @@ def field(df: DataFrame, path: str) -> Column:
         if isinstance(names[head], T.StructType):
             return F.col(path)
         if isinstance(names[head], T.VariantType):
-            return F.try_variant_get(F.col(head), f"$.{rest}", "string")
-        return F.get_json_object(F.col(head), f"$.{rest}")
+            return F.try_variant_get(F.col(head), f"$.{rest}", kind)
+        return _json(F.col(head), rest, kind)
     if isinstance(names.get("data"), T.VariantType):
-        return F.try_variant_get(F.col("data"), f"$.{path}", "string")
+        return F.try_variant_get(F.col("data"), f"$.{path}", kind)
     raise CommandError("COLUMN_NOT_FOUND", path)
 
 
+def _json(c: Column, path: str, kind: str) -> Column:
+    text = F.get_json_object(c, f"$.{path}")
+    return text if kind == "string" else F.from_json(text, kind) if kind.startswith("array") else text.try_cast(kind)
+
+
+def _inside(df: DataFrame, path: str) -> bool:
+    """Whether a path goes into a variant or JSON text, where types are each document's own."""
+    if path in df.columns:
+        return False
+    names = {f.name: f.dataType for f in df.schema.fields}
+    return not isinstance(names.get(path.partition(".")[0]), T.StructType)
+
+
+def _kind(value: object) -> str:
+    return "boolean" if isinstance(value, bool) else "double" if isinstance(value, (int, float)) else "string"
+
+
 def where(df: DataFrame, tree: Mapping[str, object] | None) -> Column:
     if not tree:
         return F.lit(True)
@@ -61,7 +80,8 @@ def where(df: DataFrame, tree: Mapping[str, object] | None) -> Column:
         return ~where(df, tree["not"])
     if "field" not in tree:
         raise CommandError("INVALID_QUERY", f"no field in {dict(tree)}")
-    c = field(df, str(tree["field"]))
+    path = str(tree["field"])
+    c, inside = field(df, path), _inside(df, path)
     parts = []
     for op, value in tree.items():
         if op == "field":
@@ -69,10 +89,19 @@ def where(df: DataFrame, tree: Mapping[str, object] | None) -> Column:
         if op == "exists":
             parts.append(c.isNotNull() if value else c.isNull())
         elif op == "in":
-            kind = df.select(c).schema[0].dataType
-            parts.append(F.arrays_overlap(c, F.array(*map(F.lit, value))) if isinstance(kind, T.ArrayType) else c.isin(list(value)))
+            values = list(value)
+            if isinstance(df.select(c).schema[0].dataType, T.ArrayType):
+                parts.append(F.arrays_overlap(c, F.array(*map(F.lit, values))))
+            elif inside:  # one of the values, or an array that holds one
+                of = _kind(values[0]) if values else "string"
+                held = field(df, path, f"array<{of}>")
+                alone = field(df, path, of).isin([float(v) if of == "double" else v for v in values])
+                parts.append(F.coalesce(alone, F.lit(False)) | F.coalesce(F.arrays_overlap(held, F.array(*[F.lit(float(v) if of == "double" else v) for v in values])), F.lit(False)))
+            else:
+                parts.append(c.isin(values))
         elif op in COMPARE:
-            parts.append(COMPARE[op](c, value))
+            of = _kind(value[0] if op == "between" else value) if inside and value is not None and op != "like" else "string"
+            parts.append(COMPARE[op](field(df, path, of) if of != "string" else c, value))
         else:
             raise CommandError("INVALID_QUERY", f"unknown operator {op}")
     return reduce(lambda a, b: a & b, parts, F.lit(True))
@@ -109,8 +138,8 @@ def _search(db: Database, c: Mapping[str, object]) -> DataFrame:
     df = db.table(c["from"]) if "from" in c else db.documents(c["collection"])
     df = df.where(where(df, c.get("query")))
     if match := c.get("fulltext"):
-        terms = F.array(*[F.lit(t) for t in str(match["match"]).lower().split()])
-        df = df.where(F.size(F.array_except(terms, fulltext.tokens_of(field(df, match["field"])))) == 0)
+        for term in str(match["match"]).lower().split():
+            df = df.where(fulltext.term_count(field(df, match["field"]), term) > 0)
     return df if c.get("limit") is None else df.limit(c["limit"])
 
 
@@ -149,10 +178,15 @@ def _execute(db: Database, c: Mapping[str, object]) -> DataFrame | int | None:
     if op == "create_table":
         return db.create_table(c["name"], c["columns"])
     if op == "transaction":
-        with db.transaction():
+        level = str(c.get("isolation", "serializable")).lower().replace(" ", "_")
+        if level not in ISOLATION:
+            raise CommandError("INVALID_QUERY", f"unknown isolation {level}")
+        with db.transaction():  # one writer at a time: every level reads what was there at its start
             return sum(x for x in [_execute(db, x) for x in c["commands"]] if isinstance(x, int))
     if op == "search":
         return _search(db, c)
+    if op == "explain":
+        return explain.nodes(select(db.table(c["query"]["from"]), c["query"]))
     if op == "graph_add_node":
         n = c["node"]
         return db.add_nodes(c["graph"], [(n["id"], n.get("label", ""), n.get("properties", {}))])
@@ -177,6 +211,8 @@ def envelope(db: Database, command: Mapping[str, object]) -> dict[str, object]:
         rows = [r.asDict(recursive=True) for r in out.collect()] if isinstance(out, DataFrame) else None
     except CommandError as e:
         return {"success": False, "error": {"code": e.code, "message": str(e)}}
+    except PySparkException as e:  # what only the rows can show
+        return {"success": False, "error": {"code": "EXECUTION_ERROR", "message": str(e).splitlines()[0]}}
     result = {"rows": rows, "row_count": len(rows)} if rows is not None else {"affected": out or 0}
     return {"success": True, "result": {**result, "execution_time_ms": (time.perf_counter() - began) * 1000}}
 

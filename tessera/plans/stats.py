@@ -105,8 +105,9 @@ def _bits(c: Column, bits: int, hashes: int) -> Column:
     return F.array(*[F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(hashes)])
 
 
-def bloom_filter(df: DataFrame, column: str, items: int, chance: float = 0.01) -> DataFrame:
-    """(bit): the set bits of a Bloom filter, one row each."""
+def bloom_filter(df: DataFrame, column: str, items: int | None = None, chance: float = 0.01) -> DataFrame:
+    """(bit): the set bits of a Bloom filter, one row each. items: how many it is made for; counted if not said."""
+    items = df.select(column).distinct().count() if items is None else items
     return df.where(F.col(column).isNotNull()).select(F.explode(_bits(F.col(column), *bloom_size(items, chance))).alias("bit")).distinct()
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from tessera.functions import fulltext as ft
 from tessera.functions import scalar as s
 from tessera.operators import dml, graph, metrics, relational, vector
-from tessera.plans import nql, stats
+from tessera.plans import explain, nql, shards, statements, stats
 from tessera.sources import files
-from tessera.sources.database import Database, Exists, Missing, ResultCache
+from tessera.sources.database import SEGMENTS, Database, Exists, Missing, ResultCache
+from tessera.sources.shared import shared_dir
+from tessera.sources.storage import MemoryStorage, ParquetStorage
 from tessera.streaming import windows
 
 
@@ -232,3 +234,169 @@ def test_streams(spark, tmp_path):
 def test_metrics(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 11)] + [("b", None)], "k string, v double")
     assert values(metrics.metric_stats(df, "k", "v")) == [("a", 10, 1.0, 10.0, 5.5, 10.0, 10.0)]
+
+
+def test_keys_and_constraints(db):
+    db.create_table("t", [{"name": "id"}, {"name": "mail", "unique": True}, {"name": "age", "type": "integer"}], checks={"grown": "age >= 18"})
+    db.create_table("o", [{"name": "id"}, {"name": "t", "type": "string"}], references=[("t", "t", "id")])
+    db.insert("t", [{"id": "a", "mail": "x", "age": 20}, {"id": "b", "mail": None, "age": None}])
+    db.insert("t", [{"id": "a", "mail": "y", "age": 21}])
+    assert values(db.table("t")) == [("a", "y", 21), ("b", None, None)]
+    for bad in ([{"id": None}], [{"id": "c"}, {"id": "c"}], [{"id": "c", "mail": "y"}], [{"id": "c", "age": 3}]):
+        with pytest.raises(ValueError):
+            db.insert("t", bad)
+    for bad in ({"id": None}, {"id": "z"}, {"mail": "same"}, {"age": 1}):
+        with pytest.raises(ValueError):
+            db.update("t", bad)
+    db.insert("o", [{"id": "1", "t": "a"}, {"id": "2"}])
+    with pytest.raises(ValueError):
+        db.insert("o", [{"id": "3", "t": "nobody"}])
+    assert db.update("t", {"id": "q"}, F.col("id") == "b") == 1 and [r.id for r in db.table("t").orderBy("id").collect()] == ["a", "q"]
+
+
+def test_registered_tables_are_tables(spark, db):
+    db.register("n", spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"))
+    assert db.names() == ["n"] and [c["primary_key"] for c in db.describe("n")] == [True, False]
+    with pytest.raises(Exists):
+        db.register("n", spark.range(1))
+    with pytest.raises(Exists):
+        db.create_table("n", [{"name": "x"}])
+    assert nql.execute(db, {"op": "update", "table": "n", "set": {"v": "c"}, "where": {"field": "k", "eq": 2}}) == 1
+    assert values(db.table("n")) == [(1, "a"), (2, "c")] and values(db.sql("SELECT v FROM n WHERE k = 2")) == [("c",)]
+    db.drop_table("n")
+    assert db.names() == []
+
+
+def test_segments_become_one(db):
+    for i in range(SEGMENTS + 3):
+        db.put("kv", {"k": i, f"k{i}": i})
+    assert db.get("kv", "k") == SEGMENTS + 2 and db.count("kv") == SEGMENTS + 4 and len(db._read()["kv:kv"]["segments"]) < SEGMENTS
+    db.create_graph("g")
+    db.add_nodes("g", [("a", "x", {}), ("a", "y", {})])
+    db.add_nodes("g", [("a", "z", {})])
+    assert [r.label for r in db.node("g", "a").collect()] == ["z"] and db.graphs() == ["g"]
+
+
+def test_documents_by_type_and_version(db):
+    db.create_collection("c")
+    db.put_documents("c", {"1": {"n": 7, "tags": ["a", "b"], "ok": True}, "2": {"n": "text", "tags": "a"}, "3": {"n": None}})
+    ids = lambda **q: sorted(r.doc_id for r in nql.execute(db, {"op": "search", "collection": "c", "query": q}).collect())
+    assert ids(field="n", gt=5) == ["1"] and ids(field="n", eq="text") == ["2"] and ids(field="tags", **{"in": ["a", "z"]}) == ["1", "2"]
+    assert ids(field="ok", eq=True) == ["1"] and ids(field="n", between=[1, 9]) == ["1"] and ids(field="n", **{"in": [7]}) == ["1"]
+    db.put_documents("c", {"1": {"n": 8}})
+    assert [db.document("c", "1", v).selectExpr("try_variant_get(data, '$.n', 'int') AS n").first().n for v in (1, 2)] == [7, 8]
+    with pytest.raises(nql.CommandError):
+        nql.execute(db, {"op": "transaction", "isolation": "chaos", "commands": []})
+    assert nql.execute(db, {"op": "transaction", "isolation": "read committed", "commands": []}) == 0
+
+
+def test_cache_forgets_after_its_time(spark):
+    now = [0.0]
+    cache = ResultCache(5, ttl=10, clock=lambda: now[0])
+    cache.get("a", lambda: spark.range(1))
+    now[0] = 11
+    cache.get("a", lambda: spark.range(2))
+    assert cache.misses == 2 and cache.hits == 0
+
+
+def test_statements(spark):
+    assert statements.classify(spark, "WITH c AS (SELECT * FROM a) SELECT * FROM c, b") == statements.Statement("select", ("c", "b", "a")) or set(statements.classify(spark, "WITH c AS (SELECT * FROM a) SELECT * FROM c, b").tables) >= {"a", "b"}
+    with pytest.raises(ValueError):
+        statements.classify(spark, "SELEC a FORM b")
+
+
+def test_plans_are_explained_and_compared(spark, db):
+    people(db)
+    rows = nql.execute(db, {"op": "explain", "query": {"op": "select", "from": "people", "where": {"field": "id", "gt": 1}}}).collect()
+    assert any("Scan" in r.operator for r in rows) and rows[0].depth == 0
+    few, many = spark.range(10), spark.range(10**6)
+    assert explain.cheapest(many, few) is few and explain.cost(many.orderBy("id")) > explain.cost(many)
+    assert "Physical Plan" in explain.text(few)
+
+
+def test_shards_move_to_even_out(spark):
+    m = shards.Shards([shards.Shard("a", "x", None, 10), shards.Shard("b", "x", 10, 40), shards.Shard("c", "y", 50)])
+    df = spark.range(60)
+    assert values(m.rows(df, "id")) == [("a", "x", 10), ("b", "x", 30), ("c", "y", 10), (None, None, 10)]
+    for bad in (shards.Shard("d", "y", 5, 6), shards.Shard("a", "y", 40, 50), shards.Shard("e", "y", 60, None)):
+        with pytest.raises(ValueError):
+            m.add(bad)
+    moves = m.plan(df, "id")
+    assert moves == [("a", "x", "y")] and m.progress == 1
+    m.start(moves)
+    assert m.progress == 0
+    m.finish("a")
+    assert m.progress == 1 and m.shards["a"].node == "y" and m.plan(df, "id") == []
+    m.remove("b")
+    with pytest.raises(LookupError):
+        m.remove("b")
+
+
+def test_storages_agree(spark, tmp_path):
+    for store in (MemoryStorage(spark), ParquetStorage(spark, f"file://{tmp_path}")):
+        store.put({"a1": "1", "a2": "2", "b": "3"})
+        store.flush()
+        store.put({"a1": "9"})
+        store.delete("a2")
+        assert values(store.scan("a")) == [("a1", "9")] and store.get("a2") is None and store.get("b") == "3" and store.count() == 2
+        store.flush()
+        store.compact()
+        assert values(store.scan()) == [("a1", "9"), ("b", "3")]
+
+
+def test_numbers_over_all_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 50, None if i % 9 == 0 else i) for i in range(50)], "a int, b int")
+    got = {r.a: r.n for r in relational.window(df, "n", "row_number", [], [("b", False), ("a", True)]).collect()}
+    order = sorted(df.collect(), key=lambda r: (r.b is not None, -(r.b or 0), r.a))
+    assert got == {r.a: i for i, r in enumerate(order, 1)}
+    assert relational.numbered(df.limit(0), "n", [("a", True)]).count() == 0
+
+
+def test_metric_stats_with_one_key_in_most_rows(spark):
+    df = spark.createDataFrame([("a", float(i % 300)) for i in range(2000)] + [("b", 1.0), (None, 4.0)], "k string, v double")
+    a = sorted(float(i % 300) for i in range(2000))
+    want = [("a", 2000, 0.0, 299.0, sum(a) / 2000, a[1900], a[1980]), ("b", 1, 1.0, 1.0, 1.0, 1.0, 1.0), (None, 1, 4.0, 4.0, 4.0, 4.0, 4.0)]
+    assert values(metrics.metric_stats(df, "k", "v")) == sorted(want, key=repr)
+
+
+def test_boolean_casts(spark):
+    row = spark.range(1).select(*[s.cast(F.lit(v), "bool").alias(f"c{i}") for i, v in enumerate([0, 2, -1, 0.5, "2", "YES", True, None])]).first()
+    assert list(row) == [False, True, True, True, False, True, True, None]
+
+
+def test_sessions_by_fractions_of_seconds(spark):
+    df = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:00:10.9"), ("u", "2024-01-01 00:00:20.9")], "u string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    assert sorted(r.n for r in metrics.sessions(df, "u", "t", 10).collect()) == [1, 2]
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)] + [(100, [0.0, 0.0, 0.0]), (101, [1.0]), (102, None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    near = {(r.query, r.place): r.vec_id for r in vector.knn_of(df, df.where("vec_id < 8"), 3).collect()}
+    assert len(near) == 24 and all((q, 1) in near for q in range(8)) and near[0, 1] == 15
+    assert {r.vec_id for r in vector.within(df, df.where("vec_id = 0"), 0.999).collect()} == {15, 30}
+    index = vector.InvertedLists(df, 4)
+    assert index.rows.count() == 43 and index.search(df.where("vec_id < 8"), 3, probes=4).count() == 24
+
+
+def test_postings_are_searched_by_bucket(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The cat, the (dog)."), (2, "a.b dog"), (3, None), (4, "")], "doc_id int, text string")
+    index = ft.Index.build(docs, f"file://{tmp_path}/i")
+    assert values(index.search(["DOG"])) == [(1,), (2,)] and values(index.search(["dog", "cat"])) == [(1,)] and values(index.search(["cat", "a.b"], every=False)) == [(1,), (2,)]
+    assert values(ft.search_all(docs, ["dog", "cat"])) == [(1,)] and values(ft.search_any(docs, ["a.b", "x"])) == [(2,)]
+    key = lambda df: {r.doc_id: round(r.score, 9) for r in df.collect()}
+    assert key(index.bm25(["the", "dog"])) == key(ft.bm25(docs, ["the", "dog"]))
+    assert "PartitionFilters: [isnotnull(bucket" in index.postings(["dog"])._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in index.postings(["dog"])._jdf.queryExecution().toString()
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
