@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,7 +354,7 @@ def decode_buffers(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> tuple
 
 def _strings(data: np.ndarray, at: np.ndarray, valid: pa.Array) -> pa.Array:
     out = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
-    return pa.compute.if_else(valid, out, None) if len(out) else out
+    return pc.if_else(valid, out, None) if len(out) else out
 
 
 def encode(docs: DataFrame, *, model: str = MODEL, alpha: float = ALPHA, seed: int = 0, sample: bool = True, column: str = "ids") -> DataFrame:
@@ -371,7 +372,7 @@ def encode(docs: DataFrame, *, model: str = MODEL, alpha: float = ALPHA, seed: i
                 ids, at = encode_buffers(v, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], seeds[lo:hi], sample=sample)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 part = batch.slice(lo, hi - lo)
-                lists = pa.compute.if_else(part[text].is_valid(), lists, None)
+                lists = pc.if_else(part[text].is_valid(), lists, None)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), lists], [*keep, column])
 
     text, key = fresh(docs, "_text"), fresh(docs, "_seed")
@@ -391,7 +392,7 @@ def decode(encoded: DataFrame, *, model: str = MODEL, column: str = "ids") -> Da
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 lists = part[column]
-                size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 data, at = decode_buffers(v, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]))
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), _strings(data, at, lists.is_valid())], [*keep, "text"])
 

@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,7 +244,7 @@ def trees(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
                 leaves, sums = build(widths, tokens, words.doc_words)
                 part = batch.slice(lo, hi - lo)
                 valid = part["text"].is_valid()
-                made = [pa.compute.if_else(valid, x, None) for x in (_cells(widths, words.doc_words), _cells(tokens, words.doc_words), _cells(leaves), _cells(sums))]
+                made = [pc.if_else(valid, x, None) for x in (_cells(widths, words.doc_words), _cells(tokens, words.doc_words), _cells(leaves), _cells(sums))]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *made], [*keep, *STORED])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _fields(docs, keep, _STORED))
@@ -299,11 +300,11 @@ def recount(trees: DataFrame, editor: Callable[[str], list[Edit]] | None = None,
                         after[i], done[i], again[i] = tree.total, len(log), tree.reencoded
                         if keep_trees:
                             changed[i] = tree.packed()
-                made = [pa.compute.if_else(valid, pa.array(x), None) for x in (before, done, after, again)]
+                made = [pc.if_else(valid, pa.array(x), None) for x in (before, done, after, again)]
                 names = [*keep, *_COUNTS]
                 if keep_trees:
                     parts = [[changed[i][j + 1] if i in changed else x[at[i] : at[i + 1]] for i in range(n)] for j, (x, at) in enumerate(((widths, wat), (tokens, tat), (leaves, lat), (sums, sat)))]
-                    made += [pa.array([changed[i][0] if i in changed else t for i, t in enumerate(texts)], pa.string()), *(pa.compute.if_else(valid, _cells(x), None) for x in parts)]
+                    made += [pa.array([changed[i][0] if i in changed else t for i, t in enumerate(texts)], pa.string()), *(pc.if_else(valid, _cells(x), None) for x in parts)]
                     names += ["text", *STORED]
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *made], names)
 
