@@ -9,8 +9,8 @@ emissions are even over its words. A document begins in a class of its own.
 
 Exchange clustering moves words to the class with the greatest gain in the likelihood of the
 class bigrams. A round evaluates every word of one half of the clustered words against the counts
-before the round (in parallel over a table of each word's neighbours, written once) and then
-moves them together. It ends when two rounds, one for each half, have raised the likelihood by
+before the round (in parallel over a table of each word's neighbours, written once, a part for
+each half) and then moves them together; the counts change by the moved words' pairs. It ends when two rounds, one for each half, have raised the likelihood by
 less than TOLERANCE of it; the best state is kept. The state between rounds is a class for
 each clustered word and a matrix of classes by classes.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
-from tessera.llm.text import ALNUM, U64, Words, buffers, by_run, slices, starts
+from tessera.llm.text import ALNUM, U64, Words, buffers, by_run, ranges, slices, starts
 
 #: So many words, the most frequent, are clustered; the others find their class when these are settled.
 CLUSTERED = 131_072
@@ -48,6 +48,12 @@ PRIOR = 5.0
 CHUNK = 3_000_000
 #: Words or pairs that a task counts before it hands on their counts.
 HELD = 3_000_000
+#: So many words' neighbours are one row of the table that the rounds read.
+BLOCK = 32
+#: The greatest count in 16 bits.
+TOP = 65_535
+#: Marks a neighbour that stands before the word.
+BEFORE = 1 << 31
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,31 +90,32 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(lo, hi - lo), *word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
+def _merged(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the sums of their counts."""
+    x, n = np.concatenate(held), np.concatenate(counts)
+    order = np.argsort(x)
+    x, n = x[order], n[order]
+    at = starts(x)
+    return x[at], np.add.reduceat(n, at, dtype=np.int64) if len(at) else n
+
+
 def _counted(parts: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
     """Distinct values and their counts, merged within the task as far as HELD goes."""
     held, counts, size = [], [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        x, n = np.concatenate(held), np.concatenate(counts)
-        order = np.argsort(x)
-        x, n = x[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-        return x[at], np.add.reduceat(n, at) if len(at) else n
-
     for part in parts:
         u, n = np.unique(part, return_counts=True)
         held.append(u)
         counts.append(n)
         size += len(u)
         if size > HELD:
-            x, n = merged()
+            x, n = _merged(held, counts)
             if len(x) > HELD // 2:
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], [name, "n"])
                 held, counts, size = [], [], 0
             else:
                 held, counts, size = [x], [n], len(x)
     if held:
-        x, n = merged()
+        x, n = _merged(held, counts)
         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], [name, "n"])
 
 
@@ -132,7 +139,41 @@ def _before(ids: np.ndarray, doc_words: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
+def _seats(w: np.ndarray) -> np.ndarray:
+    """Where words sit: BLOCK places in each block, blocks of even and of odd words in turns."""
+    return (w // (2 * BLOCK) * 2 + w % 2) * BLOCK + w % (2 * BLOCK) // 2
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.append(0, ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _split(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts above 0 in 16 bits: (rows, counts); a greater count is several of the same row."""
+    times = -(-n // TOP)
+    row = np.repeat(np.arange(len(n)), times)
+    out = np.full(len(row), TOP, np.uint16)
+    out[np.cumsum(times) - 1] = n - (times - 1) * TOP
+    return row, out
+
+
+def _sent(seat: np.ndarray, o: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each block: how many entries each of its words has, their neighbours and counts."""
+    row, n = _split(n)
+    order = np.argsort(seat[row].astype(np.uint32))
+    row = row[order]
+    seat = seat[row].astype(np.int64)
+    at = starts(seat // BLOCK)
+    ends = np.append(at, len(seat))[1:]
+    per = np.bincount(np.repeat(np.arange(len(at)), ends - at) * BLOCK + seat % BLOCK, minlength=len(at) * BLOCK).astype(np.int32)
+    columns = _binary(per, np.arange(1, len(at) + 1) * BLOCK), _binary(o[row].astype(np.uint32), ends), _binary(n[order], ends)
+    return pa.RecordBatch.from_arrays([pa.array((seat[at] // BLOCK).astype(np.int32)), *columns], ["block", "per", "o", "n"])
+
+
 def _bigrams(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """Both words' neighbours in the pairs that the task counts: those behind a word, and, with BEFORE set, those before it, without itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shipped.value
 
@@ -141,68 +182,132 @@ def _bigrams(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 ids = identify(keys, h)
                 yield (_before(ids, at, len(keys) + 1).astype(np.uint64) << U64(32)) | ids.astype(np.uint64)
 
-        yield from _counted(pairs(), "p")
+        for counted in _counted(pairs(), "p"):
+            p, n = counted["p"].to_numpy(), counted["n"].to_numpy()
+            a, b = p >> 32, p & 0xFFFFFFFF
+            yield _sent(_seats(a), b, n)
+            apart = a != b
+            yield _sent(_seats(b[apart]), a[apart] | BEFORE, n[apart])
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by word, one row for each word: its neighbours (doubled, odd if they come before it) and counts."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block one row for each: per word how many words stand behind and before it and how often it follows itself; the neighbours and counts."""
+    block, held, counts, size, least = -1, [], [], 0, HELD
+
+    def row() -> pa.RecordBatch:
+        x, n = _merged(held, counts)
+        seat, o = block * BLOCK + (x >> U64(32)).astype(np.int64), (x & U64(0xFFFFFFFF)).astype(np.int64)
+        place = seat % BLOCK
+        own = np.zeros(BLOCK, np.int64)
+        itself = _seats(o & ~BEFORE) == seat
+        own[place[itself]] = n[itself]
+        place, o = place[~itself], o[~itself]
+        i, n = _split(n[~itself])
+        place, o = place[i], o[i]
+        per = np.bincount(place * 2 + (o >= BEFORE), minlength=2 * BLOCK).astype(np.int32)
+        columns = [_binary(v, np.array([len(v)])) for v in (per, own, (o & ~BEFORE).astype(np.int32), n)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([block % 2], pa.int32()), *columns], ["block", "half", "per", "own", "o", "n"])
 
-    def rows(t: pa.Table) -> pa.RecordBatch:
-        x, n = t["x"].to_numpy(), t["n"].to_numpy()
-        w, o = (x >> 32).astype(np.int32), (x & 0xFFFFFFFF).astype(np.int32)
-        at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        ends = np.append(at, len(w))
-        packed = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))]) for v in (o, n)]
-        return pa.RecordBatch.from_arrays([pa.array(w[at]), *packed], ["w", "o", "n"])
-
-    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        w = held["x"].to_numpy() >> 32
-        if w[0] != w[-1] and len(w) > 100_000:
-            cut = int(np.searchsorted(w, w[-1]))
-            yield rows(held.slice(0, cut))
-            held = held.slice(cut).combine_chunks()
-    if held is not None:
-        yield rows(held)
+        blocks = batch["block"].to_numpy()
+        o, at = buffers(batch["o"])
+        n = buffers(batch["n"])[0].view(np.uint16)
+        place = np.repeat(np.tile(np.arange(BLOCK, dtype=np.uint64), len(blocks)), buffers(batch["per"])[0].view(np.int32))
+        x = place << U64(32) | o.view(np.uint32)
+        first = starts(blocks)
+        for lo, hi in zip(at[first] // 4, at[np.append(first[1:], len(blocks))] // 4):
+            now = blocks[first[0]]
+            first = first[1:]
+            if now != block:
+                if held:
+                    yield row()
+                block, held, counts, size, least = int(now), [], [], 0, HELD
+            held.append(x[lo:hi])
+            counts.append(n[lo:hi])
+            size += hi - lo
+            if size > least:
+                held, counts = ([v] for v in _merged(held, counts))
+                size = len(held[0])
+                least = 2 * size + HELD
+    if held:
+        yield row()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, entries of each behind and before it, how often it follows itself, neighbours, counts) of the words below most."""
+    for batch in batches:
+        o, at = buffers(batch["o"])
+        o, n, at = o.view(np.int32), buffers(batch["n"])[0].view(np.uint16), at // 4
+        pers, owns = (buffers(batch[c])[0].view(t).reshape(batch.num_rows, -1) for c, t in (("per", np.int32), ("own", np.int64)))
+        for i, block in enumerate(batch["block"].to_pylist()):
+            w = (block // 2 * BLOCK + np.arange(BLOCK)) * 2 + block % 2
+            w = w[w < most]
+            per = pers[i].reshape(BLOCK, 2)[: len(w)]
+            end = at[i] + int(per.sum())
+            if len(w):
+                yield w, per, owns[i, : len(w)], o[at[i] : end], n[at[i] : end]
+
+
+def _sides(per: np.ndarray, o: np.ndarray, n: np.ndarray, kind: np.ndarray, k: int) -> np.ndarray:
+    """Of words the counts of the classes behind (0) and before (1) them."""
+    cell = np.repeat(np.arange(per.size) * k, per.ravel())
+    cell += kind[o]
+    return np.bincount(cell, n, per.size * k).reshape(len(per), 2, k)
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, row of each neighbour, neighbour, count)"""
-    o, at = buffers(batch["o"])
-    n, _ = buffers(batch["n"])
-    per = np.diff(at) // 4
-    return batch["w"].to_numpy(), np.repeat(np.arange(len(per)), per), o.view(np.int32), n.view(np.int64)
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    on = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(np.rint(total.ravel()[on]).astype(np.int64))], ["c", "n"])
 
 
 def _matrix(shipped, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     """Class bigram counts of the task's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = shipped.value
-        total = np.zeros(k * k, np.int64)
-        for batch in batches:
-            w, row, o, n = _unpacked(batch)
-            behind = o & 1 == 0
-            cell = kind[w[row[behind]]].astype(np.int64) * k + kind[o[behind] >> 1]
-            order = np.argsort(cell, kind="stable")
-            c = cell[order]
-            at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-            if len(at):
-                total[c[at]] += np.add.reduceat(n[behind][order], at)
-        on = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["c", "n"])
+        kind = shipped.value.astype(np.int64)
+        total = np.zeros((k, k))
+        for w, per, own, o, n in _blocks(batches, len(kind)):
+            np.add.at(total, kind[w], _sides(per, o, n, kind, k)[:, 0])
+            np.add.at(total, (kind[w], kind[w]), own)
+        yield _cells(total)
+
+    return run
+
+
+def _shifts(shipped, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """What the moves of the task's words change in the class bigram counts; a pair of two moved words is counted with the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new = (x.astype(np.int64) for x in shipped.value)
+        total = np.zeros((k, k))
+        for w, per, own, o, n in _blocks(batches, len(old)):
+            moved = np.flatnonzero(old[w] != new[w])
+            if not len(moved):
+                continue
+            size = per.sum(1)
+            take = ranges((np.cumsum(size) - size)[moved], size[moved])
+            w, per, own, o, n = w[moved], per[moved], own[moved], o[take], n[take]
+            before = np.repeat(np.tile([False, True], len(w)), per.ravel())
+            n = np.where(before & (old[o] != new[o]), 0, n)
+            for kind, sign in ((old, -1), (new, 1)):
+                sides = sign * _sides(per, o, n, kind, k)
+                np.add.at(total, kind[w], sides[:, 0])
+                np.add.at(total.T, kind[w], sides[:, 1])
+                np.add.at(total, (kind[w], kind[w]), sign * own)
+        yield _cells(total)
 
     return run
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1.0))
+    y = np.maximum(x, 1.0)
+    np.log(y, out=y)
+    y *= x
+    return y
 
 
 def likelihood(matrix: np.ndarray) -> float:
@@ -224,8 +329,13 @@ def gains(matrix: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarr
     n[i, :, kind] -= left
     n[i, kind, kind] -= own
     c = np.arange(k)
-    rows = _xlogx(n + right[:, None, :]) - _xlogx(n)
-    columns = _xlogx(n + left[:, :, None]) - _xlogx(n)
+    now = np.repeat(_xlogx(matrix.astype(np.float64))[None], m, 0)  # of n, which differs from the matrix in one row and column
+    now[i, kind] = _xlogx(n[i, kind])
+    now[i, :, kind] = _xlogx(n[i, :, kind])
+    rows = _xlogx(n + right[:, None, :])
+    rows -= now
+    columns = _xlogx(n + left[:, :, None])
+    columns -= now
     diagonal = n[:, c, c]
     gain = rows.sum(2) - rows[:, c, c] + columns.sum(1) - columns[:, c, c]
     gain += _xlogx(diagonal + right + left + own[:, None]) - _xlogx(diagonal)
@@ -234,29 +344,22 @@ def gains(matrix: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarr
     return gain
 
 
-def _moves(shipped, k: int, half: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """(w, c): the better classes of the half's words."""
+def _moves(shipped, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """(w, c): the better classes of the task's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, matrix = shipped.value
-        for batch in batches:
-            step = max(1, min(128, 200_000 // k**2))
-            for lo in range(0, batch.num_rows, step):
-                w, row, o, n = _unpacked(batch.slice(lo, step))
-                mine = np.flatnonzero((w < len(kind) - 2) & (w % 2 == half))
-                if not len(mine):
-                    continue
-                other, before = o >> 1, o & 1 == 1
-                itself = other == w[row]
-                own = np.bincount(row[itself & ~before], n[itself & ~before], len(w))[mine]
-                sides = [np.bincount(row[on] * k + kind[other[on]], n[on], len(w) * k).reshape(len(w), k)[mine] for on in (~before & ~itself, before & ~itself)]
-                now = kind[w[mine]].astype(np.int64)
-                gain = gains(matrix, *sides, own, now)[:, : k - 2]
-                best = gain.argmax(1)
-                i = np.arange(len(mine))
-                go = gain[i, best] > gain[i, now] + 1e-6
-                if go.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(w[mine][go]), pa.array(best[go].astype(np.int32))], ["w", "c"])
+        kind = kind.astype(np.int64)
+        step = max(1, min(BLOCK, 200_000 // k**2))
+        for w, per, own, o, n in _blocks(batches, len(kind) - 2):
+            sides = _sides(per, o, n, kind, k)
+            now = kind[w]
+            gain = np.concatenate([gains(matrix, *sides[lo : lo + step].swapaxes(0, 1), own[lo : lo + step], now[lo : lo + step]) for lo in range(0, len(w), step)])[:, : k - 2]
+            best = gain.argmax(1)
+            i = np.arange(len(w))
+            go = gain[i, best] > gain[i, now] + 1e-6
+            if go.any():
+                yield pa.RecordBatch.from_arrays([pa.array(w[go].astype(np.int32)), pa.array(best[go].astype(np.int32))], ["w", "c"])
 
     return run
 
@@ -315,29 +418,27 @@ def train(docs: DataFrame, *, clustered: int = CLUSTERED, classes: int = CLASSES
     kind[v:] = [classes, classes + 1]
 
     shipped = sc.broadcast(keys)
-    pairs = texts.mapInArrow(_bigrams(shipped), "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    a, b = F.shiftright("p", 32), F.col("p").bitwiseAND(0xFFFFFFFF)
-    sides = F.array(F.shiftleft(a, 32).bitwiseOR(b * 2), F.shiftleft(b, 32).bitwiseOR(a * 2 + 1))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.select(F.explode(sides).alias("x"), "n").repartition(parts, F.shiftright("x", 32)).sortWithinPartitions("x")
-    near = written(rows.mapInArrow(_pack, "w int, o binary, n binary"), "neighbours")
+    sent = texts.mapInArrow(_bigrams(shipped), "block int, per binary, o binary, n binary").repartition(parts, "block").sortWithinPartitions("block")
+    near = written(sent.mapInArrow(_neighbours, "block int, half int, per binary, own binary, o binary, n binary"), "neighbours", "half")
 
-    def counted(kind: np.ndarray) -> np.ndarray:
-        got = near.mapInArrow(_matrix(sc.broadcast(kind), k), "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    def cells(rows: DataFrame, each: Callable) -> np.ndarray:
+        got = rows.mapInArrow(each, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(k * k, np.int64)
         out[got["c"].to_numpy()] = got["n"].to_numpy()
         return out.reshape(k, k)
 
-    matrix = counted(kind)
+    matrix = cells(near, _matrix(sc.broadcast(kind), k))
     best = (likelihood(matrix), kind, matrix)
     rounds = idle = 0
     while idle < 2:
-        got = near.mapInArrow(_moves(sc.broadcast((kind, matrix)), k, rounds % 2), "w int, c int").toArrow()  # a row for each clustered word at most
+        mine = near.where(F.col("half") == rounds % 2)
+        got = mine.mapInArrow(_moves(sc.broadcast((kind, matrix)), k), "w int, c int").toArrow()  # a row for each clustered word at most
         rounds, idle = rounds + 1, idle + 1
         if got.num_rows:
-            kind = kind.copy()
+            old, kind = kind, kind.copy()
             kind[got["w"].to_numpy()] = got["c"].to_numpy()
-            matrix = counted(kind)
+            matrix = matrix + cells(mine, _shifts(sc.broadcast((old, kind)), k))
             now = likelihood(matrix)
             if now > best[0] + tolerance * abs(best[0]):
                 idle = 0

@@ -4,13 +4,15 @@ import itertools
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tessera.llm import bpe, brown, chat, jaccard, pieces, quality, registry, rlz, suffix_dedup, templates, token_counts, token_files
-from tessera.llm.common import shared_dir
+from tessera.llm.common import shared_dir, written
 from tessera.llm.text import buffers
 from tests.conftest import SF
 
@@ -447,6 +449,76 @@ def test_op5_gains_are_exact():
         assert np.allclose(gain - gain[0], np.array(full) - full[0])
 
 
+def test_op5_neighbours_travel_in_blocks_and_rounds_read_one_half(spark, monkeypatch):
+    """The table of neighbours has a row for each block, of words of one half, and holds every pair; also counts beyond 16 bits."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(400)) for _ in range(100)] + ["often often " * 40_000]
+    tables = {}
+
+    def kept(df, name, *by):
+        tables[name] = written(df, name, *by)
+        return tables[name]
+
+    monkeypatch.setattr(brown, "written", kept)
+    m = brown.train(frame(spark, texts), clustered=300, classes=4)
+    near = tables["neighbours"]
+    assert near.count() <= 302 // brown.BLOCK + 3  # a row for each word before
+    assert {(x.half, x.block % 2) for x in near.select("half", "block").collect()} == {(0, 0), (1, 1)}
+    ids = {int(k): i for i, k in enumerate(m.keys)}
+    pairs = {}
+    for t in texts:
+        h = brown.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+        w = [len(ids) + 1, *(ids.get(int(x), len(ids)) for x in h)]
+        for a, b in itertools.pairwise(w):
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+    got = {}
+    for batch in near.toArrow().to_batches():
+        for w, per, own, o, n in brown._blocks([batch], len(ids) + 2):
+            got |= {(int(x), int(x)): int(c) for x, c in zip(w, own) if c}
+            side = np.repeat(np.tile([0, 1], len(w)), per.ravel())
+            for x, b, y, c in zip(np.repeat(w, per.sum(1)), side, o, n):
+                key = (int(x), int(y)) if not b else (int(y), int(x), "before")
+                got[key] = got.get(key, 0) + int(c)
+    assert max(pairs.values()) > 65_535 and got == pairs | {(a, b, "before"): c for (a, b), c in pairs.items() if a != b}
+
+
+def test_op5_moves_shift_the_matrix_as_a_recount_would():
+    r = np.random.default_rng(1)
+    v, k = 150, 6
+    count = r.poisson(0.8, (v + 2, v + 2))
+    count[3, 4], count[:, v + 1] = 200_000, 0
+    a, b = np.nonzero(count)
+    n, apart = count[a, b], a != b
+    sent = pa.Table.from_batches([brown._sent(brown._seats(a), b, n), brown._sent(brown._seats(b[apart]), a[apart] | brown.BEFORE, n[apart])])
+    near = list(brown._neighbours(sent.sort_by("block").combine_chunks().to_batches()))
+
+    def recounted(kind):
+        m = np.zeros((k, k), np.int64)
+        np.add.at(m, (kind[a], kind[b]), n)
+        return m
+
+    def cells(out):
+        m = np.zeros(k * k, np.int64)
+        for x in out:
+            m[x["c"].to_numpy()] += x["n"].to_numpy()
+        return m.reshape(k, k)
+
+    kind = np.append(r.integers(0, k - 2, v), [k - 2, k - 1]).astype(np.uint16)
+    matrix = cells(brown._matrix(SimpleNamespace(value=kind), k)(near))
+    assert (matrix == recounted(kind)).all()
+    for half in (0, 1):
+        mine = [x for x in near if x["half"][0].as_py() == half]
+        moves = list(brown._moves(SimpleNamespace(value=(kind, matrix)), k)(mine))
+        new = kind.copy()
+        for x in moves:
+            new[x["w"].to_numpy()] = x["c"].to_numpy()
+        moved = np.flatnonzero(new != kind)
+        assert len(moved) > 10 and (moved % 2 == half).all() and (moved < v).all()
+        matrix = matrix + cells(brown._shifts(SimpleNamespace(value=(kind, new)), k)(mine))
+        kind = new
+        assert (matrix == recounted(kind)).all()
+
+
 def test_op6_equals_rules_in_any_order(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     from functools import reduce
