@@ -379,7 +379,7 @@ def _contexts(shipped, begin: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _settle(weight: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rare words' contexts sorted by word: (h, kind, n, null) of each word, its class the best by weight (contexts by classes),
+    """Of rare words' contexts sorted by word: (h, kind, n, null) of each word, its class the best by weight (contexts by the classes it may take),
     and (null, kind, n, context) sums of the task."""
     k = len(weight)
     total = np.zeros((k, k), np.int64)
@@ -449,9 +449,8 @@ def train(docs: DataFrame, *, clustered: int = CLUSTERED, classes: int = CLASSES
     seen = matrix.copy()
     seen[:, classes:] = 0
     weight = np.log((seen + prior / k) / (seen.sum(0) + prior))
-    weight[:, classes:] = -np.inf
     contexts = texts.mapInArrow(_contexts(sc.broadcast((keys, kind)), v + 1), "h long, c int")
-    settled = written(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_settle(weight), "h long, kind int, n long, c int"), "rare-words")
+    settled = written(contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_settle(weight[:, :classes]), "h long, kind int, n long, c int"), "rare-words")
     got = settled.where("h is null").groupBy("c", "kind").agg(F.sum("n")).toArrow()  # classes by classes
     c, to, m = (x.to_numpy() for x in got.columns)
     np.add.at(seen, (c, to), m)

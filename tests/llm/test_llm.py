@@ -414,6 +414,22 @@ def test_op5_scores_equal_brute_force(spark, clustered):
     assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def test_op5_rare_words_settle_in_classes(spark):
+    """Words that occur twice or more are of a class, never unknown, also where their contexts leave out most classes."""
+    r = random.Random(4)
+    nouns, verbs = [f"n{i}" for i in range(20)], [f"v{i}" for i in range(20)]
+    texts = [" ".join(itertools.chain(*((r.choice(nouns), r.choice(verbs)) for _ in range(40)))) for _ in range(80)]
+    texts += [f"{r.choice(nouns)} {r.choice(verbs)} rn{i % 10} {r.choice(verbs)} {r.choice(nouns)} rv{i % 10}" for i in range(30)] + ["n1 once v2"]
+    m = brown.train(frame(spark, texts), clustered=40, classes=4)
+    hashed = lambda w: int(brown.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].view(np.int64)[0])
+    ids = {int(k): i for i, k in enumerate(m.keys.view(np.int64))}
+    kinds = lambda ws: {int(m.kind[ids[hashed(w)]]) for w in ws}
+    rare = {x.h: (x.kind, x.n) for x in m.rare.collect()}
+    assert len(rare) == 20 and set(x for _, x in rare.values()) == {3}
+    assert {rare[hashed(f"rn{i}")][0] for i in range(10)} <= kinds(nouns) and {rare[hashed(f"rv{i}")][0] for i in range(10)} <= kinds(verbs)
+    assert m.unknown == m.size[4] == 1
+
+
 def test_op5_takes_many_classes_and_clashing_names(spark):
     docs = spark.createDataFrame([("a", " ".join(f"w{i} w{i}" for i in range(300)), 1, 2.0)], "doc_id string, text string, n_words int, Perplexity double")
     out = brown.perplexities(docs, classes=260, clustered=280)
