@@ -2,7 +2,9 @@
 
 A set of queries goes against all vectors in blocks: each task multiplies its vectors by a block
 of queries and hands on the nearest of each batch, so that what is shuffled is a few rows for
-each query and batch. An index of inverted lists narrows a search to the lists nearest to a query.
+each query and batch. Distances are held for QUERY_TILE queries by VECTOR_TILE vectors at once,
+however many there are. An index of inverted lists narrows a search to the lists nearest to a query;
+its distances are made in the same blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ NO_ANGLE = 2.0
 DEFAULT_K = 5
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 10_000
+#: Queries and vectors whose distances a task holds at once.
+QUERY_TILE, VECTOR_TILE = 10_000, 4096
 #: Vectors that an index is fitted on, at most.
 SAMPLE = 20_000
 
@@ -59,48 +63,75 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _distances(q: np.ndarray, v: np.ndarray, probed: np.ndarray | None = None, lists: np.ndarray | None = None) -> np.ndarray:
+    """Queries by vectors; infinite where a query doesn't probe a vector's list."""
+    if probed is None:
+        angle = (np.abs(q).sum(1) > 0)[:, None] & (np.abs(v).sum(1) > 0)[None, :]
+        return np.round(np.where(angle, 1 - q @ v.T, NO_ANGLE), 6)
+    out = np.full((len(q), len(v)), np.inf)
+    for x in np.unique(lists):
+        asked, mine = np.flatnonzero(probed[:, x]), np.flatnonzero(lists == x)
+        out[np.ix_(asked, mine)] = _distances(q[asked], v[mine])
+    return out
+
+
 def _against(shipped, key: str, embedding: str, keep: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """Of each batch the pairs that keep (a mask of the distances, queries by vectors) names."""
+    """Of each tile the pairs that keep (a mask of the distances, queries by vectors) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, groups = shipped.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                for width, (where, q) in groups.items():
+            for lo in range(0, batch.num_rows, VECTOR_TILE):
+                part = batch.slice(lo, VECTOR_TILE)
+                for width, (where, q, probed) in groups.items():
                     v = _unit(part[embedding], width)
-                    angle = (np.abs(q).sum(1) > 0)[:, None] & (np.abs(v).sum(1) > 0)[None, :]
-                    distance = np.round(np.where(angle, 1 - q @ v.T, NO_ANGLE), 6)
-                    i, j = np.nonzero(keep(distance))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(where[i])), part[key].take(pa.array(j)), pa.array(distance[i, j])], ["query", key, "distance"])
+                    lists = None if probed is None else part["_list"].to_numpy()
+                    for at in range(0, len(q), QUERY_TILE):
+                        tile = slice(at, at + QUERY_TILE)
+                        distance = _distances(q[tile], v, None if probed is None else probed[tile], lists)
+                        i, j = np.nonzero(keep(distance) & (distance < np.inf))
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(where[tile][i])), part[key].take(pa.array(j)), pa.array(distance[i, j])], ["query", key, "distance"])
 
     return run
 
 
-def _pairs(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _pairs(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, keep: Callable[[np.ndarray], np.ndarray], near: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
+    """near: of query vectors, which lists each of them probes (a mask); vectors then hold a _list."""
     rows = queries.select(key, embedding).toArrow().combine_chunks()  # a stated set of queries, sent on in blocks
     kind = vectors.schema[key].dataType.simpleString()
+    # spread by key, as a table of vectors may be one file
+    spread = vectors.select(key, embedding, *(["_list"] if near else [])).repartition(key)
     sc, out = vectors.sparkSession.sparkContext, None
     for lo in range(0, max(rows.num_rows, 1), QUERY_BLOCK):
         part = rows.slice(lo, QUERY_BLOCK)
         column = part[embedding].combine_chunks() if part.num_rows else pa.array([], pa.list_(pa.float32()))
         size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        groups = {int(w): (np.flatnonzero(size == w), _unit(column.take(pa.array(np.flatnonzero(size == w))), int(w))) for w in np.unique(size)}
-        found = vectors.select(key, embedding).mapInArrow(_against(sc.broadcast((part[key].combine_chunks() if part.num_rows else part[key], groups)), key, embedding, keep), f"query {kind}, {key} {kind}, distance double")
+        probed, groups = near(column) if near else None, {}
+        for w in np.unique(size):
+            where = np.flatnonzero(size == w)
+            groups[int(w)] = where, _unit(column.take(pa.array(where)), int(w)), None if probed is None else probed[where]
+        found = spread.mapInArrow(_against(sc.broadcast((part[key].combine_chunks() if part.num_rows else part[key], groups)), key, embedding, keep), f"query {kind}, {key} {kind}, distance double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def knn_of(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query, key, distance, place) of the k nearest of each query but itself; ties by key."""
+def _ranked(near: DataFrame, key: str, k: int) -> DataFrame:
+    near = near.where(F.col("query") != F.col(key))
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)).cast("long"))
+    return ranked.where(F.col("place") <= k)
+
 
-    def nearest(distance: np.ndarray) -> np.ndarray:  # one more, as a query may be among them
+def _nearest(k: int) -> Callable[[np.ndarray], np.ndarray]:
+    def keep(distance: np.ndarray) -> np.ndarray:  # one more, as a query may be among them
         n = distance.shape[1]
         return distance <= np.partition(distance, min(k, n - 1), axis=1)[:, min(k, n - 1)][:, None] if n else distance > 0
 
-    near = _pairs(vectors, queries, key, embedding, nearest).where(F.col("query") != F.col(key))
-    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)).cast("long"))
-    return ranked.where(F.col("place") <= k)
+    return keep
+
+
+def knn_of(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query, key, distance, place) of the k nearest of each query but itself; ties by key."""
+    return _ranked(_pairs(vectors, queries, key, embedding, _nearest(k)), key, k)
 
 
 def within(vectors: DataFrame, queries: DataFrame, similarity: float, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -135,21 +166,15 @@ class InvertedLists:
 
     def search(self, queries: DataFrame, k: int = DEFAULT_K, *, probes: int = 6) -> DataFrame:
         """(query, key, distance, place) among the vectors of each query's nearest lists."""
-        centres, key, embedding = self.centres, self.key, self.embedding
-        width = centres.shape[1]
+        centres = self.centres
 
-        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                near = np.argsort(-(_unit(batch[embedding], width) @ centres.T), axis=1, kind="stable")[:, :probes]
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch[key].take(rows), batch[embedding].take(rows), pa.array(near.ravel().astype(np.int32))], ["query", "_q", "_list"])
-
-        kind = [queries.schema[c].dataType.simpleString() for c in (key, embedding)]
-        probed = queries.select(key, embedding).mapInArrow(lists, f"query {kind[0]}, _q {kind[1]}, _list int")
-        near = probed.join(self.rows, "_list").where(F.col("query") != F.col(key))
-        near = near.select("query", key, F.round(cosine_distance(F.col("_q"), F.col(embedding)), 6).alias("distance"))
-        ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)).cast("long"))
-        return ranked.where(F.col("place") <= k)
+        def near(column: pa.Array) -> np.ndarray:
+            lists = np.argsort(-(_unit(column, centres.shape[1]) @ centres.T), axis=1, kind="stable")[:, :probes]
+            probed = np.zeros((len(column), len(centres)), bool)
+            np.put_along_axis(probed, lists, True, axis=1)
+            return probed
+
+        return _ranked(_pairs(self.rows, queries, self.key, self.embedding, _nearest(k), near), self.key, k)
 
 
 def wrong_dimension(vectors: DataFrame, dimension: int, embedding: str = "embedding") -> DataFrame:

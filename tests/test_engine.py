@@ -380,6 +380,18 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert index.rows.count() == 43 and index.search(df.where("vec_id < 8"), 3, probes=4).count() == 24
 
 
+def test_an_index_is_searched_in_blocks_as_brute_force_is(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(100, [0.0, 0.0, 0.0]), (101, [1.0, 2.0]), (102, [2.0, 4.0]), (103, None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    asked = df.where("vec_id % 4 = 0 or vec_id > 99")
+    index = vector.InvertedLists(df, 4)
+    found = index.search(asked, 3, probes=4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each pair
+    assert values(found) == values(vector.knn_of(df, asked, 3))
+    place, own = {r.vec_id: r._list for r in index.rows.collect()}, index.search(asked, 3, probes=1).collect()
+    assert all(place[r.query] == place[r.vec_id] for r in own) and len({r["query"] for r in own}) > 8
+
+
 def test_postings_are_searched_by_bucket(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The cat, the (dog)."), (2, "a.b dog"), (3, None), (4, "")], "doc_id int, text string")
     index = ft.Index.build(docs, f"file://{tmp_path}/i")
