@@ -23,7 +23,7 @@ DEFAULT_K = 5
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 10_000
 #: Queries and vectors whose distances a task holds at once.
-QUERY_TILE, VECTOR_TILE = 10_000, 4096
+QUERY_TILE, VECTOR_TILE = 256, 4096
 #: Vectors that an index is fitted on, at most.
 SAMPLE = 20_000
 

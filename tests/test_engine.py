@@ -1,5 +1,7 @@
 """Changes, commands, stores, streams and edge cases on small literals."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,6 +394,23 @@ def test_an_index_is_searched_in_blocks_as_brute_force_is(spark):
     assert all(place[r.query] == place[r.vec_id] for r in own) and len({r["query"] for r in own}) > 8
 
 
+def test_distances_are_held_in_tiles(monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_TILE", 4, raising=False)
+    monkeypatch.setattr(vector, "VECTOR_TILE", 8, raising=False)
+    v, seen = np.random.default_rng(1).normal(size=(20, 3)), []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(v.tolist())], ["vec_id", "embedding"])
+
+    class Shipped:
+        value = pa.array(range(10)), {3: (np.arange(10), vector._unit(batch["embedding"], 3)[:10], None)}
+
+    def keep(distance):
+        seen.append(distance.shape)
+        return distance < 3
+
+    found = pa.Table.from_batches(vector._against(Shipped, "vec_id", "embedding", keep)(iter([batch]))).to_pydict()
+    assert len({*zip(found["query"], found["vec_id"], strict=True)}) == 200 and max(a for a, _ in seen) == 4 and max(b for _, b in seen) == 8
+
+
 def test_postings_are_searched_by_bucket(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The cat, the (dog)."), (2, "a.b dog"), (3, None), (4, "")], "doc_id int, text string")
     index = ft.Index.build(docs, f"file://{tmp_path}/i")
