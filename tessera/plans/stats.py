@@ -61,8 +61,8 @@ def suggest_indexes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def djb2(key: Column) -> Column:
     """h = 33 h + byte from 5381, modulo 2 ** 32."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(key), F.lit(1))), lambda i: F.conv(F.substr(F.hex(key), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
-    return F.when(F.octet_length(key) == 0, F.lit(5381).cast("long")).otherwise(F.aggregate(codes, F.lit(5381).cast("long"), lambda h, b: (h * 33 + b) % 4294967296))
+    codes = F.split(F.decode(key.cast("binary"), "ISO-8859-1"), "")  # a character for each byte
+    return F.when(F.octet_length(key) == 0, F.lit(5381).cast("long")).otherwise(F.aggregate(codes, F.lit(5381).cast("long"), lambda h, b: (h * 33 + F.ascii(b)) % 4294967296))
 
 
 def _djb2(key: str) -> int:
@@ -77,11 +77,17 @@ def ring(nodes: Sequence[str], virtual: int = 16) -> list[tuple[int, str]]:
     return sorted({_djb2(f"{n}:{i}"): n for n in nodes for i in range(virtual)}.items())
 
 
+def node_at(h: Column, places: Sequence[tuple[int, str]]) -> Column:
+    """First node at or behind the hash, else the first of all."""
+    spots = F.array(*[F.struct(F.lit(x).cast("long").alias("h"), F.lit(n).alias("n")) for x, n in places])
+    # bound once, as a filter would compute the hash again for every place
+    found = F.transform(F.array(h), lambda y: F.get(F.filter(spots, lambda s: s["h"] >= y), F.lit(0))["n"])
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(places[0][1]))
+
+
 def node_of(key: Column, places: Sequence[tuple[int, str]]) -> Column:
-    """First node at or behind the key's hash, else the first of all."""
-    spots = F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(n).alias("n")) for h, n in places])
-    h = djb2(key)
-    return F.coalesce(F.get(F.filter(spots, lambda s: s["h"] >= h), F.lit(0))["n"], F.lit(places[0][1]))
+    """The node of the key's hash."""
+    return node_at(djb2(key), places)
 
 
 def in_range(key: Column, start: object | None, end: object | None) -> Column:

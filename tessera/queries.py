@@ -613,7 +613,7 @@ _PLACES = ", ".join(f"({h}, '{n}')" for h, n in _RING)
 @query(f"""WITH k AS (SELECT c_custkey, c_name, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, b: (h * 33 + b) % 4294967296) AS h FROM customer), r AS (SELECT * FROM (VALUES {_PLACES}) AS v(place, node))
 SELECT c_custkey, h, coalesce((SELECT arg_min(node, place) FROM r WHERE place >= h), (SELECT arg_min(node, place) FROM r)) AS node FROM k""")
 def shard_ring(t):
-    return t.customer.select("c_custkey", stats.djb2(F.col("c_name")).alias("h"), stats.node_of(F.col("c_name"), _RING).alias("node"))
+    return t.customer.select("c_custkey", stats.djb2(F.col("c_name")).alias("h")).select("c_custkey", "h", stats.node_at(F.col("h"), _RING).alias("node"))
 
 
 @query("SELECT c_custkey, c_custkey >= 10 AND c_custkey < 100 AS inside, c_custkey < 50 AS below FROM customer")

@@ -191,6 +191,16 @@ def test_estimates_and_ring():
     assert len(stats.ring(["n1", "n2"], 16)) == 32 and stats.bloom_size(0)[0] == 8
 
 
+def test_the_ring_hashes_a_key_once(spark):
+    keys, places = ["", "a", "é☃😀\x00", "x" * 300, "\n\\ ", None], stats.ring(["n1", "n2", "n3"], 16)
+    df = spark.createDataFrame([(k,) for k in keys], "k string").select("k", stats.djb2(F.col("k")).alias("h"), stats.node_of(F.col("k"), places).alias("node"))
+    for k, h, node in df.collect():
+        assert h == (None if k is None else stats._djb2(k)) and node == next((n for at, n in places if k is not None and at >= h), places[0][1])
+    text = spark.range(9).select(stats.node_of(F.col("id").cast("string"), places).alias("node"))
+    text = text._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("aggregate(") < text.index("filter(") and text.count("aggregate(") == 1  # not within the filter, which asks for every place
+
+
 def test_bloom_has_no_false_negatives(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     bits = stats.bloom_filter(df.where("k < 100"), "k", 100)
