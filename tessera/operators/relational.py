@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,6 +22,8 @@ AGGREGATES = {
     "stddev": F.stddev_samp,
     "count_distinct": F.count_distinct,
 }
+#: Of a band join: rows of either side that meet at once, pairs to a partition, and partitions at most.
+SIDE, PIECE, MOST_PARTS = 2000, 1_000_000, 20_000
 UNBOUNDED = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -52,6 +55,31 @@ def join_using(left: DataFrame, right: DataFrame, columns: Sequence[str], how: s
     return left.join(right, list(columns), JOINS[how.upper()])
 
 
+def band_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], value: tuple[str, str], width: float) -> DataFrame:
+    """Inner equi-join of the rows whose values lie within width of the left one's; nulls match nothing.
+
+    Right rows go by keys and the bin of their value, left rows to each bin that their band
+    touches. In a bin each side is dealt by hash into groups of about SIDE rows, and each pair of
+    groups is joined apart, in as many partitions as the pairs ask for: no task has more than its
+    share, however frequent a key or a value is (rows equal in all columns stay together).
+    """
+    names = [f"_k{i}" for i in range(len(on))]
+    keys, lv, rv = [*names, "_bin"], F.col(value[0]), F.col(value[1])
+    low, high, own = (F.floor(x / F.lit(float(width))) for x in (lv - width, lv + width, rv))
+    a = left.withColumns({n: F.col(x) for n, (x, _) in zip(names, on, strict=True)} | {"_bin": F.explode(F.sequence(low, high))})
+    b = right.withColumns({n: F.col(y) for n, (_, y) in zip(names, on, strict=True)} | {"_bin": own})
+    cells = written(a.groupBy(*keys).agg(F.count("*").alias("_a")).join(b.groupBy(*keys).agg(F.count("*").alias("_b")), keys), "cells")
+    parts = max(1, min(MOST_PARTS, math.ceil((cells.agg(F.sum(F.col("_a").cast("double") * F.col("_b") + F.col("_a") + F.col("_b"))).first()[0] or 0) / PIECE)))
+
+    def dealt(rows: DataFrame, columns: Sequence[str], mine: str, other: str) -> DataFrame:
+        groups = {n: F.ceil(F.col(n) / SIDE) for n in ("_a", "_b")}
+        rows = rows.join(cells, keys).withColumn(f"_in{mine}", F.pmod(F.xxhash64(*[F.col(c) for c in columns]), groups[mine]))
+        return rows.withColumn(f"_in{other}", F.explode(F.sequence(F.lit(0).cast("long"), groups[other] - 1))).drop("_a", "_b").repartition(parts, *keys, "_in_a", "_in_b")
+
+    both = dealt(a, left.columns, "_a", "_b").join(dealt(b, right.columns, "_b", "_a"), [*keys, "_in_a", "_in_b"])
+    return both.where(rv.between(lv - width, lv + width)).select(*left.columns, *right.columns)
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: str, out: str) -> DataFrame:
     """left with the value of the latest right row at or before each row's time, by one sort of both sides."""
     keys = [*by, time]

@@ -160,8 +160,8 @@ def join_anti(t):
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_acctbal BETWEEN s_acctbal - 100 AND s_acctbal + 100")
 def join_theta_range(t):
-    cond = (F.col("s_nationkey") == F.col("c_nationkey")) & F.col("c_acctbal").between(F.col("s_acctbal") - 100, F.col("s_acctbal") + 100)
-    return t.supplier.join(t.customer, cond).select("s_suppkey", "c_custkey")
+    sides = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), t.customer.select("c_custkey", "c_nationkey", "c_acctbal")
+    return rel.band_join(*sides, [("s_nationkey", "c_nationkey")], ("s_acctbal", "c_acctbal"), 100).select("s_suppkey", "c_custkey")
 
 
 @query("SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) JOIN (SELECT r_regionkey AS k, r_name FROM region) USING (k)")

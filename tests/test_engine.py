@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.functions import fulltext as ft
 from tessera.functions import scalar as s
 from tessera.operators import dml, graph, metrics, relational, vector
@@ -180,6 +181,19 @@ def test_constraints_with_nulls(spark):
     assert values(dml.foreign_key_violations(df, "v", spark.createDataFrame([(1,), (None,)], "id int"), "id")) == [(None, 3)]
 
 
+def test_a_band_join_cuts_frequent_bins_and_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(relational, "SIDE", 4, raising=False)
+    monkeypatch.setattr(relational, "PIECE", 50, raising=False)
+    odd = [float("nan"), float("inf"), float("-inf"), None, 1e300, -100.0, 0.1, 100.1]
+    a = spark.createDataFrame([(i, i % 2 or None, odd[i % 8] if i % 3 else 7.0 * i) for i in range(60)], "a int, ak int, av double")
+    b = spark.createDataFrame([(i, i % 3 or None, odd[i % 8] if i % 3 else 11.0 * i) for i in range(90)], "b int, bk int, bv double")
+    want = a.join(b, (F.col("ak") == F.col("bk")) & F.col("bv").between(F.col("av") - 100, F.col("av") + 100))
+    got = relational.band_join(a, b, [("ak", "bk")], ("av", "bv"), 100)
+    assert values(got.select("a", "b")) == values(want.select("a", "b")) and got.count() > 90
+    text = queries.queries()["join_theta_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "_bin" in text  # not by the nation alone, of which there are 25
+
+
 def test_log_replay(spark):
     log = spark.createDataFrame([(1, "a", "put", "Committed", "1"), (2, "a", "put", "Active", "2"), (3, "b", "put", "Committed", "3"), (4, "b", "delete", "Committed", None)], "lsn int, key string, operation string, status string, value string")
     assert [r.value for r in dml.replay(log).collect()] == ["1"]
