@@ -6,12 +6,15 @@ postings and lengths as tables; a search reads the postings of its terms only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "is", "are")
 K1, B = 1.5, 0.75
 #: What stands between white space, without the marks at its ends; of two bytes or more.
@@ -71,11 +74,26 @@ def bm25_term(tf: Column, size: Column, mean: Column, weight: Column, k1: float
     return (k1 + 1) * tf / (tf + k1 * (1 - b + b * size / mean)) * weight
 
 
+def _counted(docs: DataFrame, terms: Sequence[str], names: Sequence[str], key: str, text: str) -> DataFrame:
+    """(key, _len, a column for each term): words and how often a token is the term, from one pass over the text."""
+    plain = [t for t in terms if re.fullmatch(r"[^\W_](\S*[^\W_])?", t)]  # others can be more or less than one word
+    marks = r"[^\s\p{L}\p{N}]*"
+    either = "|".join(rf"\Q{t}\E" for t in plain)
+    word = rf"{marks}({either}){marks}(?!\S)|\S+" if plain else r"()\S+"
+    rows = docs.select(key, *([] if len(plain) == len(terms) else [text]), F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(1)).alias("_words"))  # empty for other words
+    rows = rows.withColumns({"_len": F.array_size("_words").cast("long"), "_hits": F.array_remove("_words", "")})
+
+    def count(term: str) -> Column:
+        return F.array_size(F.filter("_hits", lambda w: w == term)) if term in plain else term_count(F.col(text), term)
+
+    return rows.select(key, "_len", *(count(t).alias(n) for t, n in zip(terms, names, strict=True)))
+
+
 def bm25(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text", *, k1: float = K1, b: float = B) -> DataFrame:
-    """(key, score) of the documents that hold any of the terms."""
+    """(key, score) of the documents that hold any of the terms. The counts are written, as the whole table's and each document's are asked for."""
     terms = list(dict.fromkeys(t.lower() for t in terms))
     names = [f"_tf{i}" for i in range(len(terms))]
-    counted = docs.select(key, word_count(F.col(text)).alias("_len"), *(term_count(F.col(text), t).alias(n) for t, n in zip(terms, names, strict=True)))
+    counted = written(_counted(docs, terms, names, key, text), "counts")
     whole = counted.agg(F.count("*").alias("_total"), F.avg("_len").alias("_mean"), *(F.count_if(F.col(n) > 0).alias(f"_n{n}") for n in names))
     hits = counted.where(reduce(lambda x, y: x | y, [F.col(n) > 0 for n in names])).crossJoin(F.broadcast(whole))  # one row
     parts = [F.when(F.col(n) > 0, bm25_term(F.col(n), F.col("_len"), F.col("_mean"), idf(F.col(f"_n{n}"), F.col("_total")), k1, b)).otherwise(0.0) for n in names]

@@ -435,6 +435,19 @@ def test_distances_are_held_in_tiles(monkeypatch):
     assert len({*zip(found["query"], found["vec_id"], strict=True)}) == 200 and max(a for a, _ in seen) == 4 and max(b for _, b in seen) == 8
 
 
+def test_terms_are_counted_in_one_pass(spark):
+    texts = ["The (the) the-the them 'the' new york, New York!", "a A É (é) c++ c+ the", " \t\n", "", None, "the\u00a0the x.y ((x.y)) _x x_", "...", "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    terms = ["the", "them", "a", "é", "new york", "c++", "x.y", "_x", "", "the-the", "..."]
+    one = [ft.term_count(F.col("text"), t) for t in terms]
+    for some in (terms, ["the", "them", "é"], ["c++"]):
+        names = [f"t{i}" for i in range(len(some))]
+        want = docs.select("doc_id", ft.word_count(F.col("text")).alias("_len"), *(one[terms.index(t)].alias(n) for t, n in zip(some, names, strict=True)))
+        assert values(ft._counted(docs, some, names, "doc_id", "text")) == values(want)
+    plan = ft.bm25(docs, ["the", "them"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "text" not in plan  # the counts are made once, for the table and for each document
+
+
 def test_postings_are_searched_by_bucket(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The cat, the (dog)."), (2, "a.b dog"), (3, None), (4, "")], "doc_id int, text string")
     index = ft.Index.build(docs, f"file://{tmp_path}/i")
