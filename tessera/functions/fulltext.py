@@ -1,4 +1,5 @@
-"""Full-text search: tokens, stems, postings, Boolean search and BM25. No step needs a UDF.
+"""Full-text search: tokens, stems, postings, Boolean search and BM25. Tokens are made by built-in
+expressions; those of a document are grouped into postings where they are, in Arrow batches.
 
 One-off searches count their terms in the text, in one scan without arrays. An Index keeps
 postings and lengths as tables; a search reads the postings of its terms only.
@@ -7,9 +8,12 @@ postings and lengths as tables; a search reads the postings of its terms only.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ K1, B = 1.5, 0.75
 #: What stands between white space, without the marks at its ends; of two bytes or more.
 TOKEN = r"[\p{L}\p{N}]\S*[\p{L}\p{N}]|[\p{L}\p{N}&&[^\x00-\x7F]]"
 BUCKETS = 64
+#: Tokens that are grouped into postings at once, and those of one document more.
+TOKENS = 1_000_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -51,9 +57,40 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", *, stop: bo
     return out.withColumn("term", stem(F.col("term"))) if stemmed else out
 
 
+def _grouped(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (key, _tokens) the postings of each row, of about TOKENS tokens at once."""
+
+    def group(part: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+        words = part["_tokens"].flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(size)), size)
+        position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        code = row * max(len(words.dictionary), 1) + words.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        at, ends = pa.array(order[first]), np.append(first, len(order))
+        positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(position[order]))
+        return pa.RecordBatch.from_arrays([words.take(at).dictionary_decode(), part[key].take(pa.array(row[order[first]])), pa.array(np.diff(ends)), positions], ["term", key, "tf", "positions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch["_tokens"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, lo = np.cumsum(size), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + TOKENS, "right")))
+                if size[lo:hi].any():
+                    yield group(batch.slice(lo, hi - lo), size[lo:hi])
+                lo = hi
+
+    return run
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, positions)"""
-    return tokens(docs, key, text).groupBy("term", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """(term, key, tf, positions), made within each row; only where keys repeat are rows of a key put together by a shuffle."""
+    kind = docs.schema[key].dataType.simpleString()
+    out = docs.select(key, tokens_of(F.col(text)).alias("_tokens")).mapInArrow(_grouped(key), f"term string, `{key}` {kind}, tf long, positions array<long>")
+    if docs.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return out
+    return out.groupBy("term", key).agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def search_all(docs: DataFrame, terms: Sequence[str], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -448,6 +448,25 @@ def test_terms_are_counted_in_one_pass(spark):
     assert "regexp" not in plan and "text" not in plan  # the counts are made once, for the table and for each document
 
 
+def test_postings_are_made_without_a_shuffle(spark):
+    texts = ["b a b (B) É", None, "", " . ", "a " * 500, "The cat, the (dog).", "x.y b a"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = lambda d: ft.tokens(d).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    got = ft.postings(docs)
+    assert got.dtypes == want(docs).dtypes and values(got) == values(want(docs))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    twice = docs.select(F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 5).alias("doc_id"), "text")  # keys that repeat, null too
+    assert values(ft.postings(twice)) == values(want(twice))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([["a", "b", "a"], [], None] * 3)], ["k", "_tokens"])
+    whole, ft_tokens = [pa.Table.from_batches(ft._grouped("k")(iter([batch]))).to_pylist()], ft.TOKENS
+    try:
+        for ft.TOKENS in (1, 4, 6):
+            whole.append(pa.Table.from_batches(ft._grouped("k")(iter([batch.slice(1)]))).to_pylist())
+    finally:
+        ft.TOKENS = ft_tokens
+    assert whole[0] == [{"term": t, "k": k, "tf": n, "positions": p} for k in (0, 3, 6) for t, n, p in (("a", 2, [0, 2]), ("b", 1, [1]))] and all(x == whole[0][2:] for x in whole[1:])
+
+
 def test_postings_are_searched_by_bucket(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The cat, the (dog)."), (2, "a.b dog"), (3, None), (4, "")], "doc_id int, text string")
     index = ft.Index.build(docs, f"file://{tmp_path}/i")
