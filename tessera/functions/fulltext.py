@@ -143,11 +143,16 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id"):
         self.spark, self.folder, self.key = spark, folder, key
 
+    @staticmethod
+    def bucketed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """Postings with their bucket, shuffled once and sorted as they are written."""
+        rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        return rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("bucket", "term", key)
+
     @classmethod
     def build(cls, docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> Index:
         """Of documents with distinct keys."""
-        rows = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("term", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
+        cls.bucketed(docs, key, text).write.partitionBy("bucket").parquet(f"{folder}/postings")
         docs.select(key, word_count(F.col(text)).alias("size")).write.parquet(f"{folder}/lengths")
         return cls(docs.sparkSession, folder, key)
 

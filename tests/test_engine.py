@@ -477,6 +477,19 @@ def test_postings_are_searched_by_bucket(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in index.postings(["dog"])._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in index.postings(["dog"])._jdf.queryExecution().toString()
 
 
+def test_an_index_shuffles_its_postings_once_and_keeps_terms_together(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} x{i % 11} w{i % 7} yy") for i in range(200)], "doc_id int, text string")
+    plan = ft.Index.bucketed(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    index = ft.Index.build(docs, f"file://{tmp_path}/i")
+    stored = spark.read.parquet(f"file://{tmp_path}/i/postings")
+    assert values(stored.select("term", "doc_id", "tf", "positions")) == values(ft.postings(docs)) and index.postings(["yy"]).count() == 200
+    by_file = {}
+    for r in stored.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "term", "doc_id").collect():
+        by_file.setdefault(r.file, []).append((r["at"], (r.term, r.doc_id)))
+    assert all([x for _, x in sorted(rows)] == sorted(x for _, x in rows) for rows in by_file.values())
+
+
 def test_a_cluster_must_name_the_shared_folder():
     class Cluster:
         class conf:  # noqa: N801
